@@ -7,9 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import graph, neardup
+from quarryline.llm import graph, neardup, vectors
 from quarryline.session import table
 
+# ---------------------------------------------------------------- 4 most similar vectors
+P4 = {"k": 5, "floor": 0.9}
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of usable vectors of one model with a cosine of at least 0.90, one among the other's 5 most similar."""
+    hits = vectors.nearest(table(spark, d, "emb"), "vec_id", "model", "vec", **P4)
+    return hits.select(F.least("query_id", "vec_id").alias("vec_id_a"), F.greatest("query_id", "vec_id").alias("vec_id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar other vectors of every usable vector with their dense_score, whatever it is."""
+    hits = vectors.nearest(table(spark, d, "emb"), "vec_id", "model", "vec", k=P4["k"])
+    return hits.select("model", F.col("query_id").alias("query_vec_id"), "hit_rank", "vec_id", F.col("cosine").alias("dense_score"))
+
+
 # ---------------------------------------------------------------- 5 near-duplicate chunks
 P5 = {"width": 3, "threshold": 0.6, "min_words": 30}
 
@@ -38,7 +54,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_groups": p5_groups}
+    return {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups}
 
 
 def oracle_sql() -> dict[str, str]:
