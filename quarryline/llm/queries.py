@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import graph, neardup, vectors
+from quarryline.llm import graph, neardup, truncation, vectors
 from quarryline.session import table
 
 # ---------------------------------------------------------------- 4 most similar vectors
@@ -53,8 +53,25 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- 8 texts cut off
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text does not reach its original end."""
+    return truncation.cut_texts(table(spark, d, "documents")).where("is_cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents, cut documents by kind of evidence, and the share that is cut."""
+    n = lambda c: F.sum(F.col(c).cast("long"))
+    return (
+        truncation.cut_texts(table(spark, d, "documents"))
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("n_docs"), n("is_cut").alias("n_cut"), n("by_copy").alias("n_by_copy"), n("by_limit").alias("n_by_limit"), n("by_closing").alias("n_by_closing"))
+        .withColumn("cut_share", F.col("n_cut") / F.col("n_docs"))
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups}
+    return {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:
