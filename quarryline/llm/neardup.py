@@ -44,8 +44,17 @@ def min_matches(threshold: float, count: int, step: int, miss: float) -> list[tu
     return out
 
 
+def most_differing(threshold: float, count: int, miss: float) -> int:
+    """Of ``count`` one-bit values, the most that may differ; beyond it a pair at ``threshold`` falls with chance ``miss`` at most."""
+    p, tail, d = (1 - threshold) / 2, 1.0, -1
+    while tail > miss:
+        d += 1
+        tail -= comb(count, d) * p**d * (1 - p) ** (count - d)
+    return d
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, perms: int, min_words: int, remember: int = 200_000) -> DataFrame:
-    """id, fp (64-bit fingerprint of the word sequence), sig (16 bits of each MinHash value).
+    """id, fp (64-bit fingerprint of the word sequence), sig (16 bits of each MinHash value), bits (the lowest bit of the first 64).
 
     A task gives the signature of a word sequence once among the last ``remember`` different ones; further copies carry null.
     """
@@ -73,13 +82,17 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, perms: int
                 fps.append(fp)
             if keys:
                 sigs: list = [None] * len(keys)
+                bits: list = [None] * len(keys)
                 if flat:
-                    for row, x in zip(at_row, S.minhash(np.concatenate(flat), np.array(starts), a, b).astype(np.uint16)):
-                        sigs[row] = x.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "fp", "sig"])
+                    low = S.minhash(np.concatenate(flat), np.array(starts), a, b).astype(np.uint16)
+                    packed = np.packbits((low[:, :64] & 1).astype(np.uint8), axis=1)
+                    packed = np.pad(packed, ((0, 0), (0, 8 - packed.shape[1]))).copy().view(np.int64).ravel()
+                    for row, x, y in zip(at_row, low, packed.tolist()):
+                        sigs[row], bits[row] = x.tobytes(), y
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bits, pa.int64())], names=["id", "fp", "sig", "bits"])
 
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    return src.mapInArrow(run, "id string, fp long, sig binary")
+    return src.mapInArrow(run, "id string, fp long, sig binary, bits long")
 
 
 def banded(sig: DataFrame, rows: int) -> DataFrame:
@@ -100,7 +113,7 @@ def banded(sig: DataFrame, rows: int) -> DataFrame:
 def bucket_pairs(rows: DataFrame, bucket: int) -> DataFrame:
     """Distinct pairs (a < b) of ``v`` that share a ``key``; rows must be distinct (key, v)."""
     by = W.partitionBy("key")
-    sized = rows.withColumn("n", F.count(F.lit(1)).over(by)).where("n > 1")
+    sized = materialize(rows.withColumn("n", F.count(F.lit(1)).over(by)).where("n > 1"), "buckets")  # most buckets hold one
     small = sized.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("v").alias("vs"))
     pairs_in = lambda xs, ys: F.explode(F.flatten(F.transform(xs, lambda x: F.transform(F.filter(ys, lambda y: y != x), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))))))
     one = small.select(F.explode(F.flatten(F.transform("vs", lambda x: F.transform(F.filter("vs", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
@@ -175,7 +188,15 @@ def similar_pairs(
     sig = materialize(signatures(df, id_col, text_col, width, perms, min_words), "signatures")
     reps = sig.groupBy("fp").agg(F.first("sig", ignorenulls=True).alias("sig"), F.min("id").alias("rep"))
     members = sig.select("id", "fp").distinct().join(sig.groupBy("fp").agg(F.min("id").alias("rep")), "fp").select("id", "rep")
-    candidates = bucket_pairs(banded(sig, rows), bucket)
+    # the first batch is one bit each of 64 values: 8 bytes a text settle most chance candidates before signatures travel
+    ones = sig.where("bits is not null").groupBy("fp").agg(F.first("bits").alias("bits"))
+    candidates = (
+        bucket_pairs(banded(sig, rows), bucket)
+        .join(ones.select(F.col("fp").alias("a"), F.col("bits").alias("x")), "a")
+        .join(ones.select(F.col("fp").alias("b"), F.col("bits").alias("y")), "b")
+        .where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_differing(threshold, min(64, perms), miss))
+        .select("a", "b")
+    )
     pruned = (
         candidates.join(reps.select(F.col("fp").alias("a"), F.col("sig").alias("sig_a"), F.col("rep").alias("rep_a")), "a")
         .join(reps.select(F.col("fp").alias("b"), F.col("sig").alias("sig_b"), F.col("rep").alias("rep_b")), "b")
