@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarryline.session import materialize
+
 
 def usable_vectors(df: DataFrame, id_col: str, group_col: str, vec_col: str) -> DataFrame:
     """(vec_id, model, vec) of vectors of the model's usual length with a finite, positive norm."""
@@ -182,7 +184,8 @@ def nearest(
     usable = usable_vectors(df, id_col, group_col, vec_col)
     prints = usable.groupBy("vec_id", "model").agg(F.min(F.struct(F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g"))).alias("p"))
     groups = prints.groupBy("model", "p").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = prints.join(groups.select("model", "p", "rep"), ["model", "p"]).select("model", "rep", "vec_id")
+    # written, so that its size is known: where copies are few, taking them out moves no vectors
+    copies = materialize(prints.join(groups.select("model", "p", "rep"), ["model", "p"]).select("model", "rep", "vec_id"), "copies")
     single = usable.join(copies.where("vec_id <> rep"), ["model", "vec_id"], "left_anti")
     quantizers, grid = fit(single, list_rows, most_lists, sample, width, rounds, seed, block, probes)
     names = sorted(quantizers)
