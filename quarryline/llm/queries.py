@@ -7,9 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import graph, neardup, truncation, vectors
+from quarryline.llm import graph, mixing, neardup, packing, splitting, tokens, truncation, vectors
 from quarryline.session import table
 
+# ---------------------------------------------------------------- 1 oversized blocks and chunks
+P1 = {"limit": 400, "overlap": 40, "least": 120}
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of at most 400 tokens of every block and distinct chunk above the limit."""
+    return splitting.split_blocks_and_chunks(table(spark, d, "blocks"), table(spark, d, "chunks"), **P1)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every block and distinct chunk that had to be split."""
+    return p1_pieces(spark, d).where("piece_index = 0 and n_pieces > 1").select("item_kind", "item_key")
+
+
 # ---------------------------------------------------------------- 4 most similar vectors
 P4 = {"k": 5, "floor": 0.9}
 
@@ -53,6 +67,44 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- 6 containers
+CAPACITY = 2048
+
+
+def _doc_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, d, "documents"), "text", {"doc_id": "long", "source": "string"})
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of every piece of a document above 2,048 tokens."""
+    packed = packing.pack(_doc_tokens(spark, d), "doc_id", "n_tokens", CAPACITY)
+    return packed.select(F.col("id").alias("doc_id"), "piece", "token_start", F.col("size").alias("n_tokens"), "container")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces, tokens and fill of every container."""
+    return packing.fill(packing.pack(_doc_tokens(spark, d), "doc_id", "n_tokens", CAPACITY), CAPACITY)
+
+
+# ---------------------------------------------------------------- 7 mixture
+def p7_uses(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document of a targeted source is used."""
+    uses, _, _ = mixing.mix(neardup.materialize(_doc_tokens(spark, d), "tokens"), table(spark, d, "mix_targets"))
+    return uses.select(F.col("id").alias("doc_id"), "source", "n_tokens", "uses")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source of the mixture."""
+    _, report, _ = mixing.mix(neardup.materialize(_doc_tokens(spark, d), "tokens"), table(spark, d, "mix_targets"))
+    return report
+
+
+def p7_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of a document in the order in which the sources are interleaved."""
+    uses, _, schedule = mixing.mix(neardup.materialize(_doc_tokens(spark, d), "tokens"), table(spark, d, "mix_targets"))
+    return mixing.sequence(uses, schedule).withColumnRenamed("id", "doc_id")
+
+
 # ---------------------------------------------------------------- 8 texts cut off
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text does not reach its original end."""
@@ -71,7 +123,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_sequence": p7_sequence, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:
