@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarryline.operators import history
 from quarryline.session import table
 
 
@@ -14,8 +15,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p3_found": lambda spark, d: history.p3_found(table(spark, d, "registry_snapshots"))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": history.P3_SQL}
