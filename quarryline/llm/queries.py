@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import graph, mixing, neardup, packing, splitting, tokens, truncation, vectors
+from quarryline.llm import graph, mixing, neardup, packing, pii, splitting, tokens, truncation, vectors
 from quarryline.session import table
 
 # ---------------------------------------------------------------- 1 oversized blocks and chunks
@@ -24,6 +24,31 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where("piece_index = 0 and n_pieces > 1").select("item_kind", "item_key")
 
 
+# ---------------------------------------------------------------- 2 personal data
+def _free_texts(spark: SparkSession, d: str) -> DataFrame:
+    return pii.free_texts(table(spark, d, "chunks"), table(spark, d, "feedback"), table(spark, d, "escalations"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row per mention of personal data in chunk texts, feedback comments and escalation notes."""
+    return pii.find_mentions(_free_texts(spark, d), table(spark, d, "known_names")).select("tbl", "row_key", "pii_kind", "start_pos")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that mention somebody, with typed placeholders."""
+    return pii.redact(_free_texts(spark, d), table(spark, d, "known_names")).where("n_mentions > 0").distinct()
+
+
+def p2_contains_pii(spark: SparkSession, d: str) -> DataFrame:
+    """Per document with chunks or a classification: contains_pii as set by hand and as found in its chunks."""
+    chunks = table(spark, d, "chunks")
+    hits = pii.find_mentions(chunks.select(F.lit("chunks").alias("tbl"), F.col("doc_id").alias("row_key"), "text"), table(spark, d, "known_names"))
+    found = hits.select(F.col("row_key").cast("long").alias("doc_id"), F.lit(1).alias("found")).distinct()
+    stored = table(spark, d, "document_classification").select("doc_id", F.col("contains_pii").alias("stored"))
+    docs = chunks.select("doc_id").where("doc_id is not null").distinct()
+    return docs.join(stored, "doc_id", "full").join(found, "doc_id", "left").select("doc_id", "stored", F.coalesce("found", F.lit(0)).alias("contains_pii"))
+
+
 # ---------------------------------------------------------------- 4 most similar vectors
 P4 = {"k": 5, "floor": 0.9}
 
@@ -123,7 +148,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_sequence": p7_sequence, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_contains_pii": p2_contains_pii, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_sequence": p7_sequence, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:
