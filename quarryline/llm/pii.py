@@ -40,7 +40,7 @@ _PHONE = re.compile(
     + r"(?:(?:\+|00)\d{1,3}[ .-]?\(?\d{1,5}\)?(?:[ ./-]?\d{2,8}){1,5}"  # international
     + r"|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}([-. ])\d{3}\1\d{4}"  # North America
     + r"|0\d(?:[ .]\d{2}){4}"  # France
-    + r"|0[17]\d{3}[ -]?\d{3}[ ]?\d{3}|02\d[ ]\d{4}[ ]\d{4}"  # United Kingdom
+    + r"|\(?0[17]\d{3}\)?[ -]?\d{3}[ ]?\d{3}|02\d[ ]\d{4}[ ]\d{4}"  # United Kingdom
     + r"|\(?0\d{2,4}\)?[/ ][ ]?\d{4,8}(?:[- ]\d{1,4})?)"  # Germany
     + _RIGHT
 )
@@ -61,8 +61,8 @@ _INTRODUCE = {"wohnhaft", "anschrift", "adresse", "wohnort", "domicilio", "domic
 #: Legal forms and kinds of firms that follow a founder's name.
 _FIRM = re.compile(r"\s+(?:&|and\s+(?:Sons|Partners|Co)\b|(?:Capital|Holdings?|Partners|Logistics|Shipping|Trust|Group|Bank|Insurance|Advisors|Trading|Industries|Consulting|Ventures|GmbH|AG|KG|Ltd|Limited|LLC|LLP|Inc|Corp|Company|Co|SA|SARL|SL|plc|team)\b)", re.I)
 _TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herrn?|Frau|Mme|Mlle|M|Sr|Sra|Don|Doña|Monsieur|Madame|Señora?)\.?\s+$", re.I)
-_BEFORE = re.compile(rf"(?:(?<![\w'’.@+-])(?P<given>[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)?)\s+)?(?:(?<![\w'’.@+-])(?P<initial>[^\W\d_]\.)(?:\s*[^\W\d_]\.)*\s*)?$")
-_AFTER_GIVEN = re.compile(rf",\s+(?P<given>[{_UP}a-z][\w'’-]*)(?:\s+[{_UP}]\.(?!\w))?")
+_BEFORE = re.compile(rf"(?:(?<![\w'’.@+-])(?P<given>[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)?)\s+)?(?:(?<![\w'’.@+-])(?P<initial>[^\W\d_]\.)(?:\s*[^\W\d_]\.)*\s*)?(?P<particle>(?:de|del|della|di|da|du|von|van|zu)\s+(?:(?:la|las|los|der|den)\s+)?)?$")
+_AFTER_GIVEN = re.compile(rf",\s+(?P<given>[{_UP}a-z][\w'’-]*)(?![\w'’.+-]*\s?(?:@|[(\[]at))(?:\s+[{_UP}]\.(?!\w))?")
 #: Capitalised words that come before a family name without being a given name.
 _NO_GIVEN = set(
     "mr mrs ms miss mx dr prof herr herrn frau mme mlle sr sra don doña monsieur madame señor señora client clienta cliente kunde kundin customer contact holder reviewer owner "
@@ -71,23 +71,27 @@ _NO_GIVEN = set(
 )
 
 
-def name_forms(rows: list[tuple[str, str]]) -> tuple[list[str], set[str], list[str], list[str]]:
-    """(listed family names, listed given names, recurring family beginnings, recurring family endings)."""
-    family = sorted({n for n, k in rows if n and k == "family"})
-    given = {n.lower() for n, k in rows if n and k == "given"}
+def affixes(names: set[str]) -> tuple[list[str], list[str]]:
+    """Beginnings and endings that recur among lower-cased names and together form them."""
     head, tail = Counter(), Counter()
-    for n in {f.lower() for f in family}:
+    for n in names:
         for i in range(3, len(n) - 1):
             head[n[:i]] += 1
             tail[n[i:]] += 1
-    # a split counts when both its parts recur
     heads, tails = Counter(), Counter()
-    for n in {f.lower() for f in family}:
+    for n in names:
         best = max(((min(head[n[:i]], 9) * min(tail[n[i:]], 9), i) for i in range(3, len(n) - 1) if head[n[:i]] > 1 and tail[n[i:]] > 2), default=None)
         if best:
             heads[n[: best[1]]] += 1
             tails[n[best[1] :]] += 1
-    return family, given, sorted(h for h, c in heads.items() if c > 1), sorted(t for t, c in tails.items() if c > 2)
+    return sorted(h for h, c in heads.items() if c > 1), sorted(t for t, c in tails.items() if c > 2)
+
+
+def name_forms(rows: list[tuple[str, str]]) -> tuple[list[str], set[str], list[str], list[str]]:
+    """(listed family names, listed given names, recurring family beginnings, recurring family endings)."""
+    family = sorted({n for n, k in rows if n and k == "family"})
+    given = {n.lower() for n, k in rows if n and k == "given"}
+    return family, given, *affixes({f.lower() for f in family})
 
 
 class Finder:
@@ -96,6 +100,8 @@ class Finder:
     def __init__(self, names: list[tuple[str, str]]) -> None:
         family, self.given, heads, tails = name_forms(names)
         alt = lambda xs: "|".join(map(re.escape, sorted(xs, key=len, reverse=True)))
+        starts, ends = affixes(self.given)
+        self.given_form = re.compile(rf"(?:{alt(starts)})(?:{alt(ends)})") if starts and ends else None
         one = "|".join(x for x in (alt(family), f"(?:{alt(heads)})(?:{alt(tails)})" if heads and tails else "") if x)
         self.family = re.compile(rf"(?<![\w'’@-])(?:{one})(?:-(?:{one}))?(?![\w'’@])", re.I) if one else None
 
@@ -125,6 +131,10 @@ class Finder:
                     out.append(("name", *span))
         return sorted(out, key=lambda x: x[1])
 
+    def _is_given(self, word: str) -> bool:
+        w = word.lower()
+        return w in self.given or bool(self.given_form and self.given_form.fullmatch(w))
+
     def _name(self, text: str, a: int, b: int) -> tuple[int, int] | None:
         if _FIRM.match(text, b):
             return None
@@ -132,7 +142,10 @@ class Finder:
         left = text[max(0, a - 48) : a]
         m = _BEFORE.search(left)
         given, initial = m["given"], m["initial"]
-        known = given is not None and given.lower() in self.given
+        known = given is not None and self._is_given(given)
+        if m["particle"] and not (known or (initial is not None and initial[0].isupper() == upper)):
+            given = initial = None  # a preposition
+            known = False
         likely = given is not None and given[0].isupper() and len(given) > 2 and given.lower() not in _NO_GIVEN and upper
         base = a - len(left)
         if given is not None and (known or likely) and (initial is None or initial[0].isupper() == upper):
@@ -140,7 +153,7 @@ class Finder:
         if initial is not None and initial[0].isupper() == upper:
             return base + m.start("initial"), b
         after = _AFTER_GIVEN.match(text, b)
-        if after and after["given"].lower() in self.given and not (self.family.match(text, after.end() + 1) if text[after.end() : after.end() + 1] == " " else None):
+        if after and self._is_given(after["given"]) and not (self.family.match(text, after.end() + 1) if text[after.end() : after.end() + 1] == " " else None):
             return a, after.end()
         if _TITLE.search(left):
             return a, b
