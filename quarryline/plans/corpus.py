@@ -28,7 +28,7 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9(\["“])', '\1' || chr(1) || '\2', 'g'), chr(1)), x -> trim(x) <> ''))::int as n_sentences from documents"""
+    r"""select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9(\["“])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> ''))::int as n_sentences from documents"""
 )
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(X.sentences("text")).alias("n_sentences"))
@@ -189,7 +189,7 @@ def page_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select distinct chunk_id, array_to_string(list_filter(list_concat([doc_title], case when section_path[1] = doc_title then section_path[2:] else coalesce(section_path, []) end), x -> x is not null and x <> ''), ' > ') as breadcrumb from chunks"""
+    """select distinct chunk_id, array_to_string(list_filter(list_concat([doc_title], case when section_path[1] = doc_title then section_path[2:] else coalesce(section_path, []) end), lambda x: x is not null and x <> ''), ' > ') as breadcrumb from chunks"""
 )
 def breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", X.breadcrumb("doc_title", "section_path").alias("breadcrumb")).distinct()

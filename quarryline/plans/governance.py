@@ -62,7 +62,7 @@ def sparklines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """with r as (select event_id, user_id, floor(epoch(ts) / 60)::bigint as win, row_number() over (partition by user_id, floor(epoch(ts) / 60)::bigint order by ts, event_id) as k, ts from events)
-select event_id, k <= 2 as allowed, case when k > 2 then greatest(1, ceil((win + 1) * 60 - epoch(ts)))::bigint end as retry_after from r"""
+select event_id, k <= 2 as allowed, case when k > 2 then greatest(1, ceil((win + 1) * 60 - epoch(ts)))::bigint else 0 end as retry_after from r"""
 )
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Verdict on every event: at most two a user and minute; a refusal says after how many seconds to come back."""
@@ -70,7 +70,7 @@ def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("us", us).withColumn("win", F.floor(F.col("us") / 60_000_000))
     k = F.row_number().over(W.partitionBy("user_id", "win").orderBy("ts", "event_id"))
     wait = F.greatest(F.lit(1), F.ceil((F.col("win") + 1) * 60 - F.col("us") / 1e6)).cast("long")
-    return e.withColumn("k", k).select("event_id", (F.col("k") <= 2).alias("allowed"), F.when(F.col("k") > 2, wait).alias("retry_after"))
+    return e.withColumn("k", k).select("event_id", (F.col("k") <= 2).alias("allowed"), F.when(F.col("k") > 2, wait).otherwise(F.lit(0).cast("long")).alias("retry_after"))
 
 
 @query(
@@ -135,8 +135,8 @@ def retention_review(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with m as (select chunk_id, doc_id, text, instr(lower(text), lower('Beneficial Owner')) as at from {DISTINCT_CHUNKS})
-select chunk_id, doc_id, at::int as position, substring(sha256('beneficial owner'), 1, 16) as subject_hash from m where at > 0"""
+    f"""with m as (select chunk_id, doc_id, text, instr(lower(text), lower('Beneficial Owner')) as pos from {DISTINCT_CHUNKS})
+select chunk_id, doc_id, pos::int as position, substring(sha256('beneficial owner'), 1, 16) as subject_hash from m where pos > 0"""
 )
 def erasure_matches(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that name a subject literally, whatever the case; only the subject's digest is reported."""
@@ -146,24 +146,24 @@ def erasure_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""select doc_id, title, source_file, jurisdiction, updated_at from documents where (lower(title) like '%policy%' or lower(source_file) like '%policy%') and status = 'indexed' and coalesce(tenant_id, 'global') in ('global', 'tn_03') and coalesce(visibility, 'tenant') in ('tenant', 'public') order by updated_at desc nulls last, doc_id limit 20 offset 20"""
+    f"""select doc_id, title, source_file, jurisdiction, updated_at from documents where (lower(title) like '%policy%' or lower(source_file) like '%policy%') and status = 'indexed' and coalesce(visibility, 'tenant') in ('tenant', 'public') order by updated_at desc nulls last, doc_id limit 20 offset 5"""
 )
 def registry_page(spark: SparkSession, d: str) -> DataFrame:
-    """Second page of a registry search: a top-k report."""
+    """A page of a registry search: a top-k report."""
     docs = table(spark, d, "documents").where(
-        (F.lower("title").contains("policy") | F.lower("source_file").contains("policy")) & (F.col("status") == "indexed") & F.coalesce("tenant_id", F.lit("global")).isin("global", "tn_03") & F.coalesce("visibility", F.lit("tenant")).isin("tenant", "public")
+        (F.lower("title").contains("policy") | F.lower("source_file").contains("policy")) & (F.col("status") == "indexed") & F.coalesce("visibility", F.lit("tenant")).isin("tenant", "public")
     )
-    return docs.select("doc_id", "title", "source_file", "jurisdiction", "updated_at").orderBy(F.desc_nulls_last("updated_at"), "doc_id").offset(20).limit(20)
+    return docs.select("doc_id", "title", "source_file", "jurisdiction", "updated_at").orderBy(F.desc_nulls_last("updated_at"), "doc_id").offset(5).limit(20)
 
 
 @query(
     """with l as (select *, row_number() over (partition by doc_id order by received_at desc nulls last, snapshot_at desc nulls last, snap_id desc) as r from registry_snapshots)
-select doc_id, status, snapshot_at, chunk_count from l where r = 1"""
+select doc_id, status, snapshot_at, coalesce(chunk_count, 0) as chunk_count from l where r = 1"""
 )
 def job_status(spark: SparkSession, d: str) -> DataFrame:
     """The last known state of every document in the deliveries."""
     w = W.partitionBy("doc_id").orderBy(F.desc_nulls_last("received_at"), F.desc_nulls_last("snapshot_at"), F.desc("snap_id"))
-    return table(spark, d, "registry_snapshots").withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_id", "status", "snapshot_at", "chunk_count")
+    return table(spark, d, "registry_snapshots").withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_id", "status", "snapshot_at", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
 
 
 @query(

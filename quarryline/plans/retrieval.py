@@ -23,11 +23,11 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 DIM = "case model when 'hash-64' then 64 when 'mini-96' then 96 end"
-USABLE = f"(select vec_id, model, vec from emb where len(vec) = {DIM} and list_sum(list_transform(vec, x -> abs(x))) > 0)"
+USABLE = f"(select vec_id, model, vec from emb where len(vec) = {DIM} and list_sum(list_transform(vec, lambda x: abs(x))) > 0)"
 
 
 @query(
-    f"""with v as (select vec_id, model, list_transform(vec, x -> x::double) as vec from {USABLE}), q as (select * from v where vec_id % 100 = 0),
+    f"""with v as (select vec_id, model, list_transform(vec, lambda x: x::double) as vec from {USABLE}), q as (select * from v where vec_id % 100 = 0),
 s as (select q.model, q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.vec, v.vec) as score from q join v on q.model = v.model and q.vec_id <> v.vec_id)
 select model, query_id, vec_id, round(score, 6) as score, row_number() over (partition by model, query_id order by score desc, vec_id) as hit_rank from s
 qualify row_number() over (partition by model, query_id order by score desc, vec_id) <= 10"""
