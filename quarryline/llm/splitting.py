@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.operators import layout
+
 #: A token: a run of Unicode letters, digits or underscore, or one other character that is not white space.
 TOKEN = re.compile(r"\w+|[^\w\s]")
 WINDOW, DIVISOR = 12, 48
@@ -117,10 +119,10 @@ def split_texts(df: DataFrame, key_cols: list[str], text_col: str, *, limit: int
 
 def block_paths(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, block_idx, section_path) of the wanted blocks: the headings open at the block, outermost first."""
-    heads = blocks.where("kind = 'heading' and text is not null").select("doc_id", F.col("block_idx").alias("h_idx"), F.coalesce("level", F.lit(1)).alias("h_level"), F.trim("text").alias("h_text"))
-    near = wanted.join(heads, "doc_id").where("h_idx <= block_idx").groupBy("doc_id", "block_idx").agg(F.array_sort(F.collect_list(F.struct("h_idx", "h_level", "h_text"))).alias("hs"))
-    fold = "transform(aggregate(hs, cast(array() as array<struct<h_idx: int, h_level: int, h_text: string>>), (s, h) -> array_append(filter(s, x -> x.h_level < h.h_level), h)), x -> x.h_text)"
-    return wanted.join(near.select("doc_id", "block_idx", F.expr(fold).alias("section_path")), ["doc_id", "block_idx"], "left").withColumn("section_path", F.coalesce("section_path", F.array().cast("array<string>")))
+    heads = blocks.where("kind = 'heading' and text is not null").select("doc_id", "block_idx", F.trim("text").alias("text"), "kind", "level")
+    marks = wanted.join(heads, ["doc_id", "block_idx"], "left_anti").select("doc_id", "block_idx", F.lit("").alias("text"), F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"))
+    near = heads.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(marks)
+    return layout.section_paths(near).select("doc_id", "block_idx", "section_path").join(wanted, ["doc_id", "block_idx"], "left_semi")
 
 
 def split_blocks_and_chunks(blocks: DataFrame, chunks: DataFrame, **limits: int) -> DataFrame:
