@@ -53,7 +53,7 @@ def chains(obs: DataFrame) -> DataFrame:
 class HistoryStore:
     """Raw observations and current chains under ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 32) -> None:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -99,7 +99,7 @@ class HistoryStore:
         """Take in observations and rebuild the chains of the entities they touch."""
         old, name = self.manifest(), uuid.uuid4().hex
         delta = f"{self.root}/raw/delta={name}"
-        updates.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(delta)
+        updates.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(delta)
         fresh = self._read("raw", [delta], RAW)
         # the touched buckets: at most ``buckets`` numbers; partition pruning then reads only their raw rows and chains
         hit = sorted(r[0] for r in fresh.select("bucket").distinct().collect())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.operators import history
-from quarryline.plans import base, corpus, governance, retrieval  # noqa: F401  (they register their queries)
+from quarryline.plans import base, corpus, evaluation, governance, retrieval  # noqa: F401  (they register their queries)
 from quarryline.session import table
 from quarryline.streaming import streams  # noqa: F401
 
