@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import graph, mixing, neardup, packing, pii, splitting, tokens, truncation, vectors
-from quarryline.session import table
+from quarryline.session import materialize, table
 
 # ---------------------------------------------------------------- 1 oversized blocks and chunks
 P1 = {"limit": 400, "overlap": 40, "least": 120}
@@ -78,7 +78,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per chunk id of a group: its class and how many different texts its text is linked to."""
     members, links = neardup.similar_pairs(table(spark, d, "chunks"), "chunk_id", "text", **P5)
-    links = neardup.materialize(links, "links")
+    links = materialize(links, "links")
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n_copies"))
@@ -97,7 +97,8 @@ CAPACITY = 2048
 
 
 def _doc_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, d, "documents"), "text", {"doc_id": "long", "source": "string"})
+    """Token counts of all documents, written once: everything after them reads a few bytes a document."""
+    return materialize(tokens.count_tokens(table(spark, d, "documents"), "text", {"doc_id": "long", "source": "string"}), "tokens")
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -114,19 +115,19 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- 7 mixture
 def p7_uses(spark: SparkSession, d: str) -> DataFrame:
     """How often each document of a targeted source is used."""
-    uses, _, _ = mixing.mix(neardup.materialize(_doc_tokens(spark, d), "tokens"), table(spark, d, "mix_targets"))
+    uses, _, _ = mixing.mix(_doc_tokens(spark, d), table(spark, d, "mix_targets"))
     return uses.select(F.col("id").alias("doc_id"), "source", "n_tokens", "uses")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of every source of the mixture."""
-    _, report, _ = mixing.mix(neardup.materialize(_doc_tokens(spark, d), "tokens"), table(spark, d, "mix_targets"))
+    _, report, _ = mixing.mix(_doc_tokens(spark, d), table(spark, d, "mix_targets"))
     return report
 
 
 def p7_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Every use of a document in the order in which the sources are interleaved."""
-    uses, _, schedule = mixing.mix(neardup.materialize(_doc_tokens(spark, d), "tokens"), table(spark, d, "mix_targets"))
+    uses, _, schedule = mixing.mix(_doc_tokens(spark, d), table(spark, d, "mix_targets"))
     return mixing.sequence(uses, schedule).withColumnRenamed("id", "doc_id")
 
 
