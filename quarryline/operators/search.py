@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarryline.functions import text as X
+from quarryline.session import materialize
 
 
 def _blocks(df: DataFrame, group: str, rows: int, salt: str) -> DataFrame:
@@ -62,12 +63,12 @@ def bm25_topk(questions: DataFrame, passages: DataFrame, k: int, k1: float = 1.2
     (question_id, text) against (passage_id, text). Corpus statistics cover all passages; postings are cut to the terms asked for before they are
     joined, and scores add up per question and passage with a partial sum before the shuffle.
     """
-    terms = passages.select("passage_id", F.explode(X.words("text")).alias("term"))
     asked = questions.select("question_id", F.explode(F.array_distinct(X.words("text"))).alias("term"))
-    size = passages.select("passage_id", F.size(X.words("text")).alias("len"))
+    # two passes over the passages, one for lengths and one for the postings asked for; both results are small and written once
+    size = materialize(passages.select("passage_id", F.size(X.words("text")).alias("len")), "lengths")
     whole = size.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    wanted = asked.select("term").distinct()
-    postings = terms.join(wanted, "term", "left_semi").groupBy("passage_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = passages.select("passage_id", F.explode(X.words("text")).alias("term"))
+    postings = materialize(terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("passage_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = postings.join(df, "term").join(size, "passage_id").join(F.broadcast(whole)).select("term", "passage_id", weight.alias("w"))

@@ -65,9 +65,10 @@ select *, row_number() over (partition by query_id order by fused_score desc, ch
 )
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Dense and sparse rankings of every query fused by reciprocal ranks."""
-    h = hits(spark, d)
-    leg = lambda s: h.where(F.col(s).isNotNull()).select("query_id", "chunk_id", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(s), "chunk_id")).alias("rank"))
-    return search.fuse(leg("dense_score").unionByName(leg("sparse_score")), "query_id", "chunk_id", "rank", 20).withColumn("fused_rank", F.col("fused_rank").cast("long"))
+    rank = lambda s: F.when(F.col(s).isNotNull(), F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last(s), "chunk_id")))
+    legs = hits(spark, d).select("query_id", "chunk_id", F.array(rank("dense_score"), rank("sparse_score")).alias("ranks"))  # both windows share one shuffle
+    ranked = legs.select("query_id", "chunk_id", F.explode("ranks").alias("rank")).where("rank is not null")
+    return search.fuse(ranked, "query_id", "chunk_id", "rank", 20).withColumn("fused_rank", F.col("fused_rank").cast("long"))
 
 
 @query(f"select query_id, chunk_id, rerank_score, row_number() over (partition by query_id order by rerank_score desc, hit_rank nulls last, chunk_id) as new_rank from {HITS} where rerank_score is not null qualify new_rank <= 5")
