@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import graph, mixing, neardup, packing, pii, splitting, tokens, truncation, vectors
+from quarryline.operators import search
 from quarryline.session import materialize, table
 
 # ---------------------------------------------------------------- 1 oversized blocks and chunks
@@ -65,6 +66,15 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("model", F.col("query_id").alias("query_vec_id"), "hit_rank", "vec_id", F.col("cosine").alias("dense_score"))
 
 
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the index per model: vectors whose id is divisible by 100 against an exact search over all vectors."""
+    emb = table(spark, d, "emb")
+    v = vectors.usable_vectors(emb, "vec_id", "model", "vec").select(F.col("model").alias("group"), F.col("vec_id").alias("id"), "vec")
+    exact = search.dense_topk(v.where("id % 100 = 0"), v, P4["k"]).where(F.col("score") >= P4["floor"]).select(F.col("group").alias("model"), "query_id", F.col("id").alias("vec_id"))
+    found = vectors.nearest(emb, "vec_id", "model", "vec", **P4).select("model", "query_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["model", "query_id", "vec_id"], "left").groupBy("model").agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
 # ---------------------------------------------------------------- 5 near-duplicate chunks
 P5 = {"width": 3, "threshold": 0.6, "min_words": 30}
 
@@ -149,7 +159,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_contains_pii": p2_contains_pii, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_sequence": p7_sequence, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_contains_pii": p2_contains_pii, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_sequence": p7_sequence, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:
