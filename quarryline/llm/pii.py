@@ -33,19 +33,19 @@ _EMAIL = re.compile(
 _FILES = {"png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "js", "css", "html"}
 _LEFT, _RIGHT = r"(?<![\w/])(?<!\d[-.,:])", r"(?![\w/])(?![-.,:]\d)"
 _ID = re.compile(
-    _LEFT + r"(?:[A-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]|[A-Z]\d{8}|\d{8}-?[A-Z]|\d{2}\.\d{2}\.\d{2}-\d{3}\.\d{2}|9\d{2}(?:-\d{2}-|[ ]\d{2}[ ]|\d{2})\d{4})" + _RIGHT, re.I
+    _LEFT + r"(?<!\+)(?:[A-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]|[A-Z]\d{8}|\d{8}-?[A-Z]|\d{2}\.\d{2}\.\d{2}-\d{3}\.\d{2}|9\d{2}(?:-\d{2}-|[ ]\d{2}[ ]|\d{2})\d{4})" + _RIGHT, re.I
 )
 _PHONE = re.compile(
     _LEFT
-    + r"(?:(?:\+|00)\d{1,3}[ .-]?\(?\d{1,5}\)?(?:[ ./-]?\d{2,8}){1,5}"  # international
+    + r"(?:(?:(?:\(\+\d{1,3}\)|\+\d{1,3})[ .-]?|00\d{1,3}[ .-])\(?\d{1,5}\)?(?:[ ./-]?\d{2,8}){1,5}"  # international
     + r"|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}([-. ])\d{3}\1\d{4}"  # North America
     + r"|0\d(?:[ .]\d{2}){4}"  # France
-    + r"|\(?0[17]\d{3}\)?[ -]?\d{3}[ ]?\d{3}|02\d[ ]\d{4}[ ]\d{4}"  # United Kingdom
-    + r"|\(?0\d{2,4}\)?[/ ][ ]?\d{4,8}(?:[- ]\d{1,4})?)"  # Germany
+    + r"|(?:\(0[17]\d{3}\)|0[17]\d{3})[ -]?\d{3}[ ]?\d{3}|02\d[ ]\d{4}[ ]\d{4}"  # United Kingdom
+    + r"|(?:\(0\d{2,4}\)|0\d{2,4})[/ ][ ]?\d{4,8}(?:[- ]\d{1,4})?)"  # Germany
     + _RIGHT
 )
 _CAP = rf"[{_UP}][\w'’-]*"
-_HOUSE = r"\d{1,5}[A-Za-z]?"
+_HOUSE = r"\d{1,5}[A-Za-z]?(?:[-–/]\d{1,5}[A-Za-z]?)?"
 _FLAT = r"(?:(?:Flat|Apt|Apartment|Unit|Suite|Appt|Studio)\.?[ ]\d{1,4}[A-Za-z]?,[ ])?"
 _ADDRESS = re.compile(
     rf"(?<![\w.-])(?:{_FLAT}{_HOUSE}[ ](?:{_CAP}[ ]){{1,4}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl|Close|Square|Sq|Terrace|Boulevard|Blvd)\b"
@@ -63,6 +63,8 @@ _FIRM = re.compile(r"\s+(?:&|and\s+(?:Sons|Partners|Co)\b|(?:Capital|Holdings?|P
 _TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herrn?|Frau|Mme|Mlle|M|Sr|Sra|Don|Doña|Monsieur|Madame|Señora?)\.?\s+$", re.I)
 _BEFORE = re.compile(rf"(?:(?<![\w'’.@+-])(?P<given>[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)?)\s+)?(?:(?<![\w'’.@+-])(?P<initial>[^\W\d_]\.)(?:\s*[^\W\d_]\.)*\s*)?(?P<particle>(?:de|del|della|di|da|du|von|van|zu)\s+(?:(?:la|las|los|der|den)\s+)?)?$")
 _AFTER_GIVEN = re.compile(rf",\s+(?P<given>[{_UP}a-z][\w'’-]*)(?![\w'’.+-]*\s?(?:@|[(\[]at))(?:\s+[{_UP}]\.(?!\w))?")
+#: A family name with a particle; it counts next to a known given name, an initial or a title only.
+_PARTICLED = re.compile(rf"(?<![\w'’@.-])(?i:(?:de|del|della|di|da|du|von|van|zu)\s+(?:(?:la|las|los|der|den)\s+)?){_CAP}(?![@])")
 #: Capitalised words that come before a family name without being a given name.
 _NO_GIVEN = set(
     "mr mrs ms miss mx dr prof herr herrn frau mme mlle sr sra don doña monsieur madame señor señora client clienta cliente kunde kundin customer contact holder reviewer owner "
@@ -102,8 +104,11 @@ class Finder:
         alt = lambda xs: "|".join(map(re.escape, sorted(xs, key=len, reverse=True)))
         starts, ends = affixes(self.given)
         self.given_form = re.compile(rf"(?:{alt(starts)})(?:{alt(ends)})") if starts and ends else None
-        one = "|".join(x for x in (alt(family), f"(?:{alt(heads)})(?:{alt(tails)})" if heads and tails else "") if x)
-        self.family = re.compile(rf"(?<![\w'’@-])(?:{one})(?:-(?:{one}))?(?![\w'’@])", re.I) if one else None
+        form = re.compile(f"(?:{alt(heads)})(?:{alt(tails)})") if heads and tails else None
+        rest = {f.lower() for f in family if not (form and form.fullmatch(f.lower()))}
+        one = "|".join(x for x in (alt(rest), form.pattern if form else "") if x)
+        # matched against lower-cased text: without case folding the alternatives are told apart by their first letters
+        self.family = re.compile(rf"\b(?<!['’@-])(?:{one})(?:-(?:{one}))?(?![\w'’@])") if one else None
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) in order of their start."""
@@ -125,20 +130,27 @@ class Finder:
                 if free(*m.span()) and (kind != "phone" or 7 <= sum(c.isdigit() for c in m.group()) <= 15):
                     out.append((kind, m.start(), m.end()))
         if self.family:
-            for m in self.family.finditer(text):
+            low = text.lower()
+            if len(low) != len(text):  # a few capitals have longer small forms
+                low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+            for m in self.family.finditer(low):
                 span = self._name(text, *m.span())
                 if span and free(*span):
                     out.append(("name", *span))
+            for m in _PARTICLED.finditer(text):
+                span = self._name(text, *m.span(), particled=True)
+                if span and free(*span):
+                    out.append(("name", *span))
         return sorted(out, key=lambda x: x[1])
 
     def _is_given(self, word: str) -> bool:
         w = word.lower()
         return w in self.given or bool(self.given_form and self.given_form.fullmatch(w))
 
-    def _name(self, text: str, a: int, b: int) -> tuple[int, int] | None:
+    def _name(self, text: str, a: int, b: int, particled: bool = False) -> tuple[int, int] | None:
         if _FIRM.match(text, b):
             return None
-        upper = text[a].isupper()
+        upper = particled or text[a].isupper()
         left = text[max(0, a - 48) : a]
         m = _BEFORE.search(left)
         given, initial = m["given"], m["initial"]
@@ -146,14 +158,14 @@ class Finder:
         if m["particle"] and not (known or (initial is not None and initial[0].isupper() == upper)):
             given = initial = None  # a preposition
             known = False
-        likely = given is not None and given[0].isupper() and len(given) > 2 and given.lower() not in _NO_GIVEN and upper
+        likely = given is not None and given[0].isupper() and len(given) > 2 and given.lower() not in _NO_GIVEN and upper and not particled
         base = a - len(left)
         if given is not None and (known or likely) and (initial is None or initial[0].isupper() == upper):
             return base + m.start("given"), b
         if initial is not None and initial[0].isupper() == upper:
             return base + m.start("initial"), b
         after = _AFTER_GIVEN.match(text, b)
-        if after and self._is_given(after["given"]) and not (self.family.match(text, after.end() + 1) if text[after.end() : after.end() + 1] == " " else None):
+        if after and self._is_given(after["given"]) and not (text[after.end() : after.end() + 1] == " " and self.family.match(text.lower(), after.end() + 1)):
             return a, after.end()
         if _TITLE.search(left):
             return a, b

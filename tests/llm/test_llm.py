@@ -83,6 +83,8 @@ NAMES = [(g, "given") for g in "Tamla Tamric Tamra Orla Orric Orra Fenric Fenla
         ("Dr Wexford met Orla T. Hollberg-Wexley, DREXLEY, TAMRA and O. Drexford", [("name", "Wexford"), ("name", "Orla T. Hollberg-Wexley"), ("name", "DREXLEY, TAMRA"), ("name", "O. Drexford")]),
         ("Wexford Capital, Hollberg & Sole Ltd, Wexley Shipping GmbH; Will they?", []),
         ("contact Zora N'Dovi or Tamra Wexley at tamra.wexley@x.test", [("name", "Zora N'Dovi"), ("name", "Tamra Wexley"), ("email", "tamra.wexley@x.test")]),
+        ("trace 00048797, +999 20 3969 567, paid (030/23125-471), (+49) 30 23125 459", [("phone", "+999 20 3969 567"), ("phone", "030/23125-471"), ("phone", "(+49) 30 23125 459")]),
+        ("Orric L. de Quorra and Tamra van Esk; Dr von Holm; de Lund, Fenla; Respuesta de Quorra; copia de Wexford Capital", [("name", "Orric L. de Quorra"), ("name", "Tamra van Esk"), ("name", "von Holm"), ("name", "de Lund, Fenla")]),
         ("", []),
     ],
 )
