@@ -16,6 +16,8 @@ are placed each; an empty input gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +58,7 @@ def sweep(runs: pd.DataFrame) -> pd.DataFrame:
     """Match runs from the largest value down; the gap seen last is the least that holds the document at hand.
 
     Larger documents come first and equal ones by rank, so rank settles which of them gets a gap. A gap takes one
-    document a sweep; its rest is a gap of the next superstep.
+    document a sweep; its rest (kind 3) is a gap of the next.
     """
     runs = runs.sort_values(["value", "kind", "first"], ascending=[False, False, True])
     out: list[tuple] = []
@@ -80,16 +82,32 @@ def sweep(runs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kind", "value", "first", "n", "bin"]).astype({"bin": "Int64"})
 
 
-def superstep(state: DataFrame, capacity: int, ranges: int) -> DataFrame:
-    """One sweep in every range of sizes side by side, then one over what they leave; kind 3 marks the rests of gaps just filled."""
+def sweeps(times: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A task's part of a superstep: up to ``times`` sweeps over its own runs, gaps updated after each."""
+
+    def run(runs: pd.DataFrame) -> pd.DataFrame:
+        done, state = [], runs
+        for _ in range(times):
+            out = sweep(state)
+            hit = out["kind"] == 2
+            done.append(out[hit])
+            state = out[~hit].assign(kind=out.loc[~hit, "kind"].replace(3, 1))
+            if not hit.any():
+                break
+        return pd.concat([*done, state])[["kind", "value", "first", "n", "bin"]]
+
+    return run
+
+
+def superstep(state: DataFrame, capacity: int, ranges: int, times: int) -> DataFrame:
+    """Sweeps in every range of sizes side by side, then over the runs all ranges leave."""
     part = F.least(F.floor(F.col("value") * ranges / capacity), F.lit(ranges - 1)).cast("int")
-    own = state.withColumn("part", part).groupBy("part").applyInPandas(sweep, RUNS)
-    kept = materialize(own, "sweep")
-    across = kept.where("kind < 2").withColumn("part", F.lit(0)).groupBy("part").applyInPandas(sweep, RUNS)
-    return materialize(kept.where("kind > 1").unionByName(across), "superstep")
+    kept = materialize(state.withColumn("part", part).groupBy("part").applyInPandas(sweeps(times), RUNS), "sweep")
+    across = kept.where("kind < 2").withColumn("part", F.lit(0)).groupBy("part").applyInPandas(sweeps(times), RUNS)
+    return materialize(kept.where("kind = 2").unionByName(across), "superstep")
 
 
-def place_runs(runs: DataFrame, capacity: int, ranges: int = 8, most_rounds: int = 100_000) -> DataFrame:
+def place_runs(runs: DataFrame, capacity: int, ranges: int = 8, times: int = 16, most_rounds: int = 100_000) -> DataFrame:
     """Placed runs (size, from_rank, n, bin) of document runs (size, n)."""
     spark = runs.sparkSession
     empty = F.lit(None).cast("long").alias("bin")
@@ -109,9 +127,9 @@ def place_runs(runs: DataFrame, capacity: int, ranges: int = 8, most_rounds: int
             new = min(seen["docs"], -(-seen["room"] // capacity))
             fresh = spark.range(1).select(F.lit(1).alias("kind"), F.lit(capacity).cast("long").alias("value"), F.lit(bins).cast("long").alias("first"), F.lit(new).cast("long").alias("n"), empty)
             state, bins = state.where("kind = 0").unionByName(fresh), bins + new
-        out = superstep(state, capacity, ranges)
+        out = superstep(state, capacity, ranges, times)
         placed.append(out.where("kind = 2").select(F.col("value").cast("int").alias("size"), F.col("first").alias("from_rank"), "n", "bin"))
-        state = out.where("kind <> 2").withColumn("kind", F.expr("if(kind = 3, 1, kind)"))
+        state = out.where("kind < 2")
     else:
         raise RuntimeError("containers not settled")
     if not placed:
