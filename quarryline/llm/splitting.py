@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.operators import layout
+from quarryline.session import materialize
 
 #: A token: a run of Unicode letters, digits or underscore, or one other character that is not white space.
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -132,6 +133,7 @@ def split_blocks_and_chunks(blocks: DataFrame, chunks: DataFrame, **limits: int)
     """
     key = F.concat_ws("#", F.col("doc_id").cast("string"), F.col("block_idx").cast("string"))
     b = split_texts(blocks.where("doc_id is not null and block_idx is not null"), ["doc_id", "block_idx"], "text", **limits).withColumns({"doc_id": F.col("doc_id").cast("long"), "block_idx": F.col("block_idx").cast("int")})
+    b = materialize(b, "pieces")  # few: only oversized blocks have pieces
     paths = block_paths(blocks, b.select("doc_id", "block_idx").distinct())
     b = b.join(paths, ["doc_id", "block_idx"]).select(F.lit("block").alias("item_kind"), key.alias("item_key"), "doc_id", *_OUT, "section_path")
     from pyspark.sql import Window as W
