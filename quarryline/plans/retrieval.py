@@ -49,9 +49,9 @@ dfs as (select term, count(*) as df from tf where term in (select term from a) g
 s as (select question_id, passage_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) as score from a join tf using (term) join dfs using (term) join sz using (passage_id), al group by 1, 2)
 select question_id, passage_id, score, row_number() over (partition by question_id order by score desc, passage_id) as hit_rank from s qualify row_number() over (partition by question_id order by score desc, passage_id) <= 20"""
 )
-def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty best chunks by BM25 for the escalated questions whose id is divisible by 100, against all chunks."""
-    q = table(spark, d, "escalations").where("id % 100 = 0").select(F.col("id").alias("question_id"), F.col("question").alias("text"))
+def bm25_topk(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
+    """Twenty best chunks by BM25 for the escalated questions whose id is divisible by ``every``, against all chunks."""
+    q = table(spark, d, "escalations").where(F.col("id") % every == 0).select(F.col("id").alias("question_id"), F.col("question").alias("text"))
     p = distinct_chunks(spark, d).select(F.col("chunk_id").alias("passage_id"), "text")
     return search.bm25_topk(q, p, 20).withColumn("hit_rank", F.col("rank").cast("long")).drop("rank")
 
@@ -212,12 +212,12 @@ def calibration(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def answers(spark: SparkSession, d: str) -> DataFrame:
-    """Escalated questions (id divisible by 100): best chunks, band, and the leading sentence of the best chunk as an extractive answer."""
-    top = bm25_topk(spark, d)
+def answers(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
+    """Escalated questions (id divisible by ``every``): best chunks, band, and the leading sentence of the best chunk as an extractive answer."""
+    top = bm25_topk(spark, d, every)
     best = top.groupBy("question_id").agg(F.max("score").alias("score"), F.min_by("passage_id", "hit_rank").alias("chunk_id"), F.count(F.lit(1)).alias("n_candidates"))
     c = distinct_chunks(spark, d).select("chunk_id", "doc_title", "source_file", F.get(X.sentences("text"), F.lit(0)).alias("sentence"))
-    q = table(spark, d, "escalations").where("id % 100 = 0").select(F.col("id").alias("question_id"), "question")
+    q = table(spark, d, "escalations").where(F.col("id") % every == 0).select(F.col("id").alias("question_id"), "question")
     conf = M.sigmoid((F.col("score") - 20) / 5)
     return (
         q.join(best, "question_id", "left").join(c, "chunk_id", "left").withColumn("confidence", F.coalesce(conf, F.lit(0.0))).withColumn("state", M.band("confidence"))
