@@ -50,9 +50,26 @@ def stream_rate_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select id, trace_id, rating, comment from feedback qualify row_number() over (partition by id order by loaded_at) = 1")
 def stream_feedback(spark: SparkSession, d: str) -> DataFrame:
-    """Feedback intake without repeats: the first delivery of every id within a month counts."""
-    f = table_stream(spark, d, "feedback").withColumn("at", F.col("created_at").cast("timestamp"))
-    return run_once(f.withWatermark("at", "30 days").dropDuplicatesWithinWatermark(["id"]).select("id", "trace_id", "rating", "comment"))
+    """Feedback intake without repeats: of every id the delivery loaded first counts, in whatever files and order they come.
+
+    A batch lands its first delivery of an id unless one as early has landed; the landed rows are folded once more when read, as a later
+    batch may bring an earlier delivery. A null loaded_at comes last; equal ones are told apart by the other columns.
+    """
+    stream = table_stream(spark, d, "feedback")
+    rows = stream.select("id", F.struct(F.col("loaded_at").isNull().alias("late"), "loaded_at", "created_at", "trace_id", "rating", "comment").alias("row"))
+    at = f"{checkpoint_root(spark)}/quarryline-feedback-{uuid.uuid4().hex}"
+    schema = rows.schema
+
+    def land(batch: DataFrame, epoch: int) -> None:
+        fresh = batch.groupBy("id").agg(F.min("row").alias("row")).alias("b")
+        if epoch:
+            landed = batch.sparkSession.read.schema(schema).parquet(f"{at}/out").where(F.col("batch") < epoch).select("id", "row").alias("l")
+            fresh = fresh.join(landed, F.col("b.id").eqNullSafe(F.col("l.id")) & (F.col("l.row") <= F.col("b.row")), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{at}/out/batch={epoch}")  # a repeated batch replaces its own files
+
+    rows.writeStream.foreachBatch(land).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    first = spark.read.schema(schema).parquet(f"{at}/out").groupBy("id").agg(F.min("row").alias("row"))
+    return first.select("id", "row.trace_id", "row.rating", "row.comment")
 
 
 @query("select doc_id, source, sha256(text) as text_hash from documents where status = 'indexed'")

@@ -119,3 +119,19 @@ def test_folder(spark):
     assert text("a.md") == [("Head", "heading", 1), ("para one line two", "paragraph", None), ("Sub", "heading", 2), ("```\ncode\n\n# not head\n```", "paragraph", None), ("after", "paragraph", None)]
     assert text("open.md") == [("```\nnever closed\n\nstill code", "paragraph", None)]
     assert text("sub/b.html") == [("T", "heading", 0), ("H", "heading", 2), ("Hello w", "paragraph", None), ("in li", "paragraph", None), ("a | b\nc", "paragraph", None)]
+
+
+def test_feedback_stream_over_many_files(spark, tmp_path):
+    """More files than a trigger takes, in no order of time: nothing is dropped as late and the least loaded_at of an id counts."""
+    from quarryline.streaming import streams
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [(i, f"t{i}", "up", f"first {i}", day(500 - 25 * i), day(500 - 25 * i)) for i in range(20)]
+    rows += [(i, f"t{i}", "down", f"again {i}", day(500 - 25 * i), day(560 - 25 * i)) for i in range(0, 20, 3)]  # repeated after the watermark
+    rows += [(i, f"t{i}", "down", f"earlier {i}", day(500 - 25 * i), day(499 - 25 * i)) for i in (1, 2)] + [(3, "t3", "down", "unknown", day(425), None)]
+    at = tmp_path / "feedback.parquet"
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], "id long, trace_id string, rating string, comment string, created_at timestamp, loaded_at timestamp").coalesce(1).write.mode("append").parquet(str(at))
+    got = {r.id: r.comment for r in streams.stream_feedback(spark, str(tmp_path)).collect()}
+    assert got == {i: f"earlier {i}" if i in (1, 2) else f"first {i}" for i in range(20)}
+    assert streams.stream_feedback(spark, str(tmp_path)).count() == 20
