@@ -5,7 +5,8 @@ goes to the others by their shares. A source's texts are read in hashed order, p
 quota; the running totals are summed over hash buckets first, so a source that holds a third of all rows is no single
 task. Streams are cut into equal blocks; block j of a source of weight w is released at slot floor(j / w),
 is due at ceil((j + 1) / w), and the earliest deadline runs first. At every slot each source is less than one
-block from its share. The schedule has ``slots`` slots whatever the size of the data.
+block from its share. The schedule has ``slots`` slots whatever the size of the data (twice the number of sources used, if that is more); a source whose
+quota is less than a block gets one block, which it fills in part, and the others share the other slots.
 
 Defined results: sources not among the targets, texts without source, null texts and texts of no tokens are not
 used (uses 0 for texts of targeted sources that the quota does not reach); null or non-positive shares count as 0, null
@@ -16,7 +17,8 @@ the text that crosses it, so a source exceeds it by less than one text; empty in
 from __future__ import annotations
 
 from fractions import Fraction
-from math import ceil, floor
+from heapq import heappop, heappush
+from math import floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,16 +45,35 @@ def quotas(shares: dict[str, float], caps: dict[str, int], budget: int) -> dict[
     return out
 
 
+def slot_weights(quota: dict[str, int], slots: int) -> tuple[dict[str, int], Fraction]:
+    """(weights, tokens of a block): quotas below a block are raised to one slot of ``slots``, the other slots are shared by quota.
+
+    The raised sources fit their block, and after any number of slots the others are as far as with the quotas as weights.
+    """
+    large, most = {s: q for s, q in quota.items() if q > 0}, slots
+    small: set[str] = set()
+    if len(large) > slots:
+        raise ValueError(f"{len(large)} sources do not fit {slots} slots")
+    while fresh := {s for s, q in large.items() if q * most < sum(large.values())}:
+        small |= fresh
+        large = {s: q for s, q in large.items() if s not in fresh}
+        most -= len(fresh)
+    total = sum(large.values())
+    return {s: q * most for s, q in large.items()} | dict.fromkeys(small, total), Fraction(total, most)
+
+
 def pfair(weights: dict[str, int], slots: int) -> list[tuple[str, int]]:
     """(source, block) of every slot; weights are integers, a source's share is its part of their sum."""
     total = sum(weights.values())
-    w = {s: Fraction(x, total) for s, x in weights.items() if x > 0}
-    done, out = {s: 0 for s in w}, []
+    w = {s: x for s, x in weights.items() if x > 0}
+    waiting, ready, out = [(0, s, 0) for s in sorted(w)], [], []
     for t in range(slots):
-        ready = [s for s in w if floor(done[s] / w[s]) <= t]
-        s = min(ready, key=lambda s: (ceil((done[s] + 1) / w[s]), s))
-        out.append((s, done[s]))
-        done[s] += 1
+        while waiting and waiting[0][0] <= t:
+            _, s, j = heappop(waiting)
+            heappush(ready, (-(-(j + 1) * total // w[s]), s, j))
+        _, s, j = heappop(ready)
+        out.append((s, j))
+        heappush(waiting, ((j + 1) * total // w[s], s, j + 1))
     return out
 
 
@@ -87,8 +108,10 @@ def mix(sizes: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", budget:
         .select("id", "source", "n_tokens", "start", "uses", "held")
     )
     total = sum(quota.values())
-    order = pfair(quota, slots) if total else []
-    block = total / slots if total else 1.0
+    slots = max(slots, 2 * sum(q > 0 for q in quota.values()))
+    weights, tokens = slot_weights(quota, slots) if total else ({}, Fraction(1))
+    order = pfair(weights, slots) if total else []
+    block = float(tokens)
     schedule = spark.createDataFrame([(s, j, t, block) for t, (s, j) in enumerate(order)], "source string, block int, slot int, block_tokens double")
     used = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.sum((F.col("uses") > 0).cast("long")).alias("texts_used"), F.max("uses").alias("most_uses"))
     report = plan.join(given, "source").join(used, "source", "left").fillna(0, ["used_tokens", "texts_used", "most_uses"])
@@ -104,5 +127,7 @@ def sequence(uses: DataFrame, schedule: DataFrame) -> DataFrame:
     placed = each.join(F.broadcast(size)).withColumn("block", F.floor(F.col("position") / F.col("size")).cast("int"))
     # the text that crosses a quota may begin in the block after the source's last one: it stays in the last
     ends = schedule.groupBy("source").agg(F.max("block").alias("last_block"))
-    placed = placed.join(F.broadcast(ends), "source").withColumn("block", F.least("block", "last_block"))
-    return placed.join(F.broadcast(schedule.select("source", "block", "slot")), ["source", "block"]).select("slot", "source", "pass", "id", "n_tokens", "position")
+    placed = placed.join(F.broadcast(ends), "source", "left").withColumn("block", F.least("block", "last_block"))
+    placed = placed.join(F.broadcast(schedule.select("source", "block", "slot")), ["source", "block"], "left")
+    slot = F.coalesce("slot", F.raise_error(F.concat(F.lit("no slot for source "), "source")).cast("int")).alias("slot")
+    return placed.select(slot, "source", "pass", "id", "n_tokens", "position")

@@ -264,6 +264,23 @@ def test_mix(spark):
     assert none.count() == 0 and report.agg(F.sum("used_tokens")).first()[0] == 0
 
 
+def test_mix_keeps_small_sources(spark):
+    """Sources far below a slot's part of the tokens keep all their uses, and the large ones their pace."""
+    rows = [(i, "big", 100) for i in range(4000)] + [(5000 + i, "mid", 100) for i in range(2000)] + [(9001, "s1", 7), (9002, "s2", 3), (9003, "s2", 2), (9004, "s3", 2400)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("big", 0.6, 1), ("mid", 0.3, 1), ("s1", 0.03, 2), ("s2", 0.03, 1), ("s3", 0.04, 1)], "source string, target_share double, max_repeats int")
+    uses, _, schedule = mixing.mix(sizes, targets, slots=128)
+    s, u = mixing.sequence(uses, schedule).toPandas(), uses.toPandas()
+    assert s.groupby("id").size().to_dict() == u[u.uses > 0].set_index("id").uses.to_dict() and set(s.source) == {"big", "mid", "s1", "s2", "s3"}
+    order, size = schedule.toPandas().sort_values("slot"), schedule.first().block_tokens
+    assert len(order) == 128 and (order.source == "s1").sum() == (order.source == "s2").sum() == 1
+    used = u.assign(n=u.uses * u.n_tokens).groupby("source").n.sum()
+    for k in ("big", "mid"):
+        assert max(abs((order.source == k).cumsum().to_numpy() * size - used[k] * np.arange(1, 129) / 128)) < size + 100
+    with pytest.raises(Exception, match="no slot for source s1"):
+        mixing.sequence(uses, schedule.where("source <> 's1'")).collect()
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world, café!"), (2, ""), (3, None), (4, "line one\n" * 200_000)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df, "text", {"doc_id": "long"}).collect()}
