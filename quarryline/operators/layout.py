@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -63,30 +65,78 @@ def overlaps(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("overlap", F.coalesce(shared, F.lit(0))).withColumn("is_first", F.lag("chunk_id").over(order).isNull())
 
 
+def _pieces(n: int, most: int, sentences: Callable[[], list[int]]) -> list[tuple[int, int]]:
+    """(first token, tokens) of the pieces of a text of ``n`` tokens: whole, else its sentences, of these the oversized by windows of ``most``."""
+    if n <= most:
+        return [(0, n)]
+    out, at = [], 0
+    for k in sentences():
+        out += [(at + i, min(most, k - i)) for i in range(0, k, most)]
+        at += k
+    return out
 
 
 def pack_sections(blocks: DataFrame, most: int = 400, least: int = 60) -> DataFrame:
-    """(doc_id, chunk_index, section_path, first_block, last_block, token_count): blocks packed within sections up to ``most`` tokens.
+    """(doc_id, chunk_index, section_path, first_block, last_block, first_token, end_token, token_count): blocks packed within sections up to ``most`` tokens.
 
-    Sections below ``least`` tokens join the next of the same parent; a block above ``most`` stays alone. The greedy fold runs per document on
-    (tokens, path) rows; texts stay where they are.
+    A section goes from a heading to the next; those without body are dropped. Sections below ``least`` tokens join the next of the same
+    parent until they are not, whose heading stays inline; the path is the first one's. A block above ``most`` is packed by sentences, a sentence above it by windows of
+    ``most``. A chunk begins at ``first_token`` of its first block and ends before ``end_token`` of its last. The greedy fold runs per document on token counts; texts stay where they are.
     """
-    rows = section_paths(blocks).where("kind <> 'heading' and text is not null").select("doc_id", "block_idx", "section_path", X.token_count("text").alias("n")).where("n > 0")
+    n = F.coalesce(X.token_count("text"), F.lit(0))
+    parts = F.when(n > most, F.transform(X.sentences("text"), X.token_count))
+    rows = section_paths(blocks).select("doc_id", "block_idx", "section_path", F.coalesce(F.col("kind") == "heading", F.lit(False)).alias("head"), n.alias("n"), parts.alias("parts")).where("head or n > 0")
 
     def fold(doc: pd.DataFrame) -> pd.DataFrame:
+        sections: list[list] = []  # path, tokens of the body, rows (block, pieces) with the heading first
+        for idx, path, head, size, parts in sorted(zip(doc["block_idx"], doc["section_path"], doc["head"], doc["n"], doc["parts"]), key=lambda r: r[0]):
+            if head or not sections:
+                sections.append([tuple(path), 0, 0, []])
+            here = sections[-1]
+            if head:
+                here[2] = 1  # rows before the body
+            else:
+                here[1] += size
+            here[3].append((idx, _pieces(size, most, lambda: [int(k) for k in parts])))
+        sections = [s for s in sections if s[1]]
         out: list[list] = []
-        for idx, path, n in sorted(zip(doc["block_idx"], (tuple(p) for p in doc["section_path"]), doc["n"])):
-            if out:
-                last = out[-1]
-                same = last[1] == path
-                tiny = last[4] < least and last[1][:-1] == path[:-1]
-                if (same or tiny) and last[4] + n <= most:
-                    last[3], last[4] = idx, last[4] + n
-                    continue
-            out.append([len(out), path, idx, idx, n])
-        return pd.DataFrame([(doc["doc_id"].iloc[0], i, list(p), a, z, n) for i, p, a, z, n in out], columns=["doc_id", "chunk_index", "section_path", "first_block", "last_block", "token_count"])
-
-    return rows.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_index int, section_path array<string>, first_block int, last_block int, token_count int")
+        k = 0
+        while k < len(sections):
+            path, total, heads, packed = sections[k]
+            packed = packed[heads:]
+            while total < least and k + 1 < len(sections) and sections[k + 1][0][:-1] == path[:-1]:
+                k += 1
+                total += sections[k][1]
+                packed = packed + sections[k][3]
+            k += 1
+            fresh = True
+            for idx, pieces in packed:
+                for at, size in pieces:
+                    if not size:
+                        continue
+                    if fresh or out[-1][6] + size > most:
+                        out.append([len(out), list(path), idx, idx, at, at, 0])
+                        fresh = False
+                    out[-1][3], out[-1][5] = idx, at + size
+                    out[-1][6] += size
+        return pd.DataFrame([(doc["doc_id"].iloc[0], *o) for o in out], columns=["doc_id", "chunk_index", "section_path", "first_block", "last_block", "first_token", "end_token", "token_count"])
+
+    return rows.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_index int, section_path array<string>, first_block int, last_block int, first_token int, end_token int, token_count int")
+
+
+def _gaps(found: list[str], window: int, percentile: float, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, is_break) of the gap before every sentence but the first."""
+    n = len(found)
+    x = np.zeros((n + 1, buckets))
+    for i, sentence in enumerate(found):
+        at = [xxhash.xxh32_intdigest(w) % buckets for w in sentence.lower().split()]
+        x[i + 1] = np.bincount(at, minlength=buckets) / max(1.0, np.sqrt(len(at)))
+    total, i = np.cumsum(x, axis=0), np.arange(1, n)
+    a, b = total[i] - total[np.maximum(i - window, 0)], total[np.minimum(i + window, n)] - total[i]
+    norm = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    d = np.round(1 - np.divide((a * b).sum(1), norm, out=np.zeros(n - 1), where=norm > 0), 9)
+    peak = pd.Series(d).rolling(2 * window + 1, center=True, min_periods=1).max().to_numpy()
+    return d, (d >= np.quantile(d, percentile)) & (d >= peak - 1e-12)
 
 
 def topic_breaks(docs: DataFrame, window: int = 2, percentile: float = 0.9, buckets: int = 256) -> DataFrame:
@@ -97,21 +147,37 @@ def topic_breaks(docs: DataFrame, window: int = 2, percentile: float = 0.9, buck
     s = docs.select("doc_id", X.sentences("text").alias("s")).where(F.size("s") > 1)
 
     def gaps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        import xxhash
-
         for batch in parts:
             for doc_id, found in zip(batch["doc_id"], batch["s"]):
-                n = len(found)
-                x = np.zeros((n + 1, buckets))
-                for i, sentence in enumerate(found):
-                    at = [xxhash.xxh32_intdigest(w) % buckets for w in sentence.lower().split()]
-                    x[i + 1] = np.bincount(at, minlength=buckets) / max(1.0, np.sqrt(len(at)))
-                total, i = np.cumsum(x, axis=0), np.arange(1, n)
-                a, b = total[i] - total[np.maximum(i - window, 0)], total[np.minimum(i + window, n)] - total[i]
-                norm = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
-                d = np.round(1 - np.divide((a * b).sum(1), norm, out=np.zeros(n - 1), where=norm > 0), 9)
-                peak = pd.Series(d).rolling(2 * window + 1, center=True, min_periods=1).max().to_numpy()
-                yield pd.DataFrame({"doc_id": doc_id, "sentence": i, "distance": d, "is_break": (d >= np.quantile(d, percentile)) & (d >= peak - 1e-12)})
+                d, is_break = _gaps(found, window, percentile, buckets)
+                yield pd.DataFrame({"doc_id": doc_id, "sentence": np.arange(1, len(found)), "distance": d, "is_break": is_break})
 
     return s.mapInPandas(gaps, "doc_id long, sentence int, distance double, is_break boolean")
+
+
+def semantic_chunks(docs: DataFrame, most: int = 400, least: int = 80, window: int = 2, percentile: float = 0.9, buckets: int = 256) -> DataFrame:
+    """(doc_id, chunk_index, first_sentence, last_sentence, first_token, token_count): sentences packed between topic breaks.
+
+    A chunk ends at a break once it has ``least`` tokens, and before it would exceed ``most``; a last chunk below ``least`` joins the one before where it
+    fits. A sentence above ``most`` leaves as windows of ``most`` tokens, ``first_token`` being their place in it.
+    """
+    s = docs.select("doc_id", X.sentences("text").alias("s")).where(F.size("s") > 0).select("doc_id", "s", F.transform("s", X.token_count).alias("n"))
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in parts:
+            out = []
+            for doc_id, found, sizes in zip(batch["doc_id"], batch["s"], batch["n"]):
+                shift = _gaps(found, window, percentile, buckets)[1] if len(found) > 1 else []
+                groups: list[list[int]] = []  # first, last, tokens
+                for i, k in enumerate(map(int, sizes)):
+                    if not groups or groups[-1][2] + k > most or (shift[i - 1] and groups[-1][2] >= least):
+                        groups.append([i, i, 0])
+                    groups[-1][1], groups[-1][2] = i, groups[-1][2] + k
+                if len(groups) > 1 and groups[-1][2] < least and groups[-2][2] + groups[-1][2] <= most:
+                    _, last, k = groups.pop()
+                    groups[-1][1], groups[-1][2] = last, groups[-1][2] + k
+                cut = [(a, z, at, min(most, k - at)) for a, z, k in groups for at in range(0, k, most)]
+                out += [(doc_id, i, *c) for i, c in enumerate(cut)]
+            yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "first_sentence", "last_sentence", "first_token", "token_count"])
+
+    return s.mapInPandas(pack, "doc_id long, chunk_index int, first_sentence int, last_sentence int, first_token int, token_count int")

@@ -207,6 +207,12 @@ def semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
     return layout.topic_breaks(table(spark, d, "documents")).where("is_break").select("doc_id", "sentence", "distance")
 
 
+@query()
+def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of every document packed between its topic breaks; the greedy fold has no SQL form."""
+    return layout.semantic_chunks(table(spark, d, "documents"))
+
+
 @query()
 def normalized_texts(spark: SparkSession, d: str) -> DataFrame:
     """Length and digest of every text in normalised form (Unicode composition has no built-in)."""

@@ -135,3 +135,24 @@ def test_feedback_stream_over_many_files(spark, tmp_path):
     got = {r.id: r.comment for r in streams.stream_feedback(spark, str(tmp_path)).collect()}
     assert got == {i: f"earlier {i}" if i in (1, 2) else f"first {i}" for i in range(20)}
     assert streams.stream_feedback(spark, str(tmp_path)).count() == 20
+
+
+def test_pack_sections_splits_oversized_blocks(spark):
+    """No chunk above the limit, no token lost; tiny sections join by their own size, not by the last chunk's."""
+    big = " ".join(["One two three four."] * 5 + ["Long " * 23 + "end."])
+    rows = [(1, 0, "H", "heading", 1), (1, 1, big, "paragraph", None), (1, 2, "a b", "paragraph", None), (1, 3, "K", "heading", 1), (1, 4, "c d", "paragraph", None), (1, 5, "L", "heading", 1), (1, 6, "e", "paragraph", None)]
+    df = spark.createDataFrame(rows, "doc_id long, block_idx int, text string, kind string, level int")
+    got = layout.pack_sections(df, most=10, least=3).orderBy("chunk_index").collect()
+    assert [(r.section_path, r.first_block, r.last_block, r.first_token, r.end_token, r.token_count) for r in got] == [
+        (["H"], 1, 1, 0, 10, 10), (["H"], 1, 1, 10, 20, 10), (["H"], 1, 1, 20, 25, 5), (["H"], 1, 1, 25, 35, 10), (["H"], 1, 1, 35, 45, 10), (["H"], 1, 2, 45, 2, 7), (["K"], 4, 6, 0, 1, 4),
+    ]
+
+
+def test_semantic_chunks(spark):
+    a, b = "Sanctions screening covers every payment today.", "Retention schedules follow local archive rules."
+    df = spark.createDataFrame([(1, " ".join([a] * 6 + [b] * 6)), (2, "word " * 25 + "end."), (3, ""), (4, None), (5, "Short one.")], "doc_id long, text string")
+    got = lambda **k: sorted(tuple(r) for r in layout.semantic_chunks(df, **k).collect())
+    assert got(most=60, least=20) == [(1, 0, 0, 5, 0, 42), (1, 1, 6, 11, 0, 42), (2, 0, 0, 0, 0, 27), (5, 0, 0, 0, 0, 3)]
+    assert [r[4:] for r in got(most=10, least=2) if r[0] == 2] == [(0, 10), (10, 10), (20, 7)]
+    assert [r[3:] for r in got(most=50, least=45) if r[0] == 1] == [(6, 0, 49), (11, 0, 35)]  # the tail does not fit
+    assert [r[1:] for r in got(most=100, least=43) if r[0] == 1] == [(0, 0, 11, 0, 84)]
