@@ -304,3 +304,13 @@ def test_cut_texts(spark):
     assert not cut & (set(range(150)) | {2000 + i for i in range(30, 60)} | {4001, 4002}) and 4000 not in got.index
     assert got.by_limit.sum() == 8 and got.loc[[1000 + i for i in range(30)]].by_copy.mean() > 0.9
     assert truncation.cut_texts(df.limit(0)).count() == 0
+
+
+def test_cut_texts_behind_one_preamble(spark):
+    """Different texts that share their first 64 words and are cut at the source's limit count each; copies of one text count once."""
+    rng = random.Random(12)
+    preamble = prose(80, rng)
+    rows = [(i, "form", (preamble + " " + prose(120, rng))[:900]) for i in range(5)] + [(100 + i, "same", (prose(300, random.Random(3)))[:900]) for i in range(5)]
+    assert all(len(t) == 900 for _, _, t in rows)
+    got = truncation.cut_texts(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas().set_index("doc_id")
+    assert got.by_limit.to_dict() == {i: True for i in range(5)} | {100 + i: False for i in range(5)}
