@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,20 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published splitting pattern of this byte-level vocabulary (a fixed value).
 DEFAULT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Texts from this length on are counted in stretches of at least ``STRETCH`` characters.
+LONG, STRETCH = 1_000_000, 100_000
+# after a character that is no white space, before a single blank or line break and a letter: no match of the pattern goes over it
+SEAM = re.compile(r"(?<=\S)(?=[ \n][^\W\d_])")
+
+
+def stretches(text: str, least: int = STRETCH) -> Iterator[str]:
+    """The text in parts that have its tokens; what has no seam stays whole."""
+    at = 0
+    while seam := SEAM.search(text, at + least):
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:]
+
 
 def count_tokens(df: DataFrame, text_col: str, keep: dict[str, str], vocabulary: str = DEFAULT_VOCABULARY, pattern: str = DEFAULT_PATTERN) -> DataFrame:
     """The columns ``keep`` (name -> type, taken as they are) and ``n_tokens`` of the whole text; rows without text are left out."""
@@ -24,10 +39,7 @@ def count_tokens(df: DataFrame, text_col: str, keep: dict[str, str], vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in parts:
-            counts = []
-            for text in batch.column(0).to_pylist():
-                # a very long text is counted in stretches between line breaks, where the pattern splits anyway
-                counts.append(len(enc.encode_ordinary(text)) if len(text) < 1_000_000 else sum(len(enc.encode_ordinary(p)) for p in text.splitlines(keepends=True)))
+            counts = [sum(len(enc.encode_ordinary(p)) for p in (stretches(text) if len(text) >= LONG else [text])) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int32())], names=[*keep, "n_tokens"])
 
     schema = ", ".join(f"`{k}` {v}" for k, v in keep.items()) + ", n_tokens int"

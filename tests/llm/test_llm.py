@@ -287,6 +287,24 @@ def test_token_counts(spark):
     assert set(got) == {1, 2, 4} and got[1] == 5 and got[2] == 0 and got[4] == 3 * 200_000
 
 
+def test_long_texts_have_the_tokens_of_the_whole(spark):
+    """White space over line breaks, form feeds and line separators divide no long text."""
+    import base64
+
+    import tiktoken
+
+    with open(tokens.DEFAULT_VOCABULARY, "rb") as f:
+        enc = tiktoken.Encoding("v", pat_str=tokens.DEFAULT_PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    rng = random.Random(8)
+    odd = ["a", "b2", "'s", "é", ".", "\n", "\n\n", " ", "  ", "\f", "\u2028", "\x1c", "\t", "\u00a0", "word", "\r\n"]
+    texts = ["a\n\n\nb" * 210_000, "".join(rng.choice(odd) for _ in range(700_000)), "line one\n" * 120_000]
+    assert all(len(t) >= 1_000_000 for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(df, "text", {"doc_id": "long"}).collect()}
+    assert got == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
+    assert len(list(tokens.stretches(texts[1]))) > 5 and "".join(tokens.stretches(texts[1])) == texts[1]
+
+
 # ---------------------------------------------------------------- cut-off texts
 def test_cut_texts(spark):
     rng = random.Random(6)
