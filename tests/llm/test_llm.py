@@ -117,6 +117,19 @@ def test_pii_tables(spark):
     assert pii.find_mentions(t.limit(0), names.limit(0)).count() == 0
 
 
+def test_redacted_keeps_texts_without_mention(spark, tmp_path):
+    from quarryline.llm import queries
+
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("known_names", NAMES, "name string, name_kind string")
+    write("chunks", [("c1", "nothing here"), ("c1", "nothing here"), ("c2", "call (884) 555-0111"), ("c3", None)], "chunk_id string, text string")
+    write("feedback", [(1, "fine"), (2, "")], "id long, comment string")
+    write("escalations", [(7, "no one")], "id long, note string")
+    got = sorted((r.tbl, r.row_key, r.n_mentions, r.text) for r in queries.p2_redacted(spark, str(tmp_path)).collect())
+    assert [g[:3] for g in got] == [("chunks", "c1", 0), ("chunks", "c2", 1), ("escalations", "7", 0), ("feedback", "1", 0), ("feedback", "2", 0)]
+    assert [g[3] for g in got if not g[2]] == ["nothing here", "no one", "fine", ""] and got[1][3].startswith("call [PHONE:")
+
+
 # ---------------------------------------------------------------- vectors
 def brute(x, ids, k, floor):
     y = x.astype(np.float32).astype(float)
