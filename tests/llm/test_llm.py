@@ -345,3 +345,54 @@ def test_cut_texts_behind_one_preamble(spark):
     assert all(len(t) == 900 for _, _, t in rows)
     got = truncation.cut_texts(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas().set_index("doc_id")
     assert got.by_limit.to_dict() == {i: True for i in range(5)} | {100 + i: False for i in range(5)}
+
+
+def copies_frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+
+def test_cut_copies_with_edits(spark):
+    """Edits close to the end, changed beginnings and short texts keep the evidence of the copy; copies that end together give none."""
+    rng = random.Random(21)
+    rows, cut, whole = [], set(), set()
+    for g in range(40):
+        full = prose(220, rng).split()
+        rows.append((g, None, " ".join(full) + "."))
+        near_end = full[: 120 + g]
+        near_end[-2 - g % 3] = "edited"
+        rows.append((100 + g, None, " ".join(near_end)))
+        head = ["changed", "title", "of", "the", "copy"][: 2 + g % 4] + full[4 : 150 + g]
+        rows.append((200 + g, None, " ".join(head)))
+        rows.append((300 + g, None, " ".join(full[: 12 + g % 8])))
+        same_end = list(full)
+        same_end[30] = "other"
+        rows.append((400 + g, None, " ".join(same_end) + "."))
+        rows.append((500 + g, None, " ".join(full[60:90]) + "."))  # an excerpt is no cut copy
+        cut |= {100 + g, 200 + g, 300 + g}
+        whole |= {g, 400 + g, 500 + g}
+    got = {r.doc_id for r in truncation.cut_texts(copies_frame(spark, rows)).where("by_copy").collect()}
+    assert len(got & cut) >= 0.98 * len(cut) and not got & whole, (len(got & cut), len(cut), got & whole)
+
+
+def test_cut_copies_in_a_hot_group(spark):
+    """Very many different copies of one text: every cut one is found without meeting all others."""
+    rng = random.Random(22)
+    full, rows = prose(150, rng).split(), []
+    for i in range(200):
+        mine = list(full)
+        mine[rng.randrange(150)] = f"w{i}"
+        rows.append((i, "s", " ".join(mine[: 100 + i % 30] if i % 2 else mine) + ("" if i % 2 else ".")))
+    got = {r.doc_id for r in truncation.cut_texts(copies_frame(spark, rows)).where("by_copy").collect()}
+    assert got == {i for i in range(200) if i % 2}
+
+
+def test_window_minima_are_shared_by_common_runs():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, 90, dtype=np.uint64)
+    b = np.concatenate([rng.integers(0, 2**63, 17, dtype=np.uint64), a[30:60]])
+    flat = np.concatenate([a, b, a[:5], a[:4]])
+    grams = S.shingle_hashes(flat, truncation.SHINGLE)
+    at, own = truncation.window_minima(grams, np.array([0, 90, 137, 142]), np.array([90, 47, 5, 4]))
+    assert (np.diff(own) >= 0).all() and set(own.tolist()) == {0, 1, 2}
+    keys = [set(grams[at[own == k]].tolist()) for k in range(3)]
+    assert keys[0] & keys[1] and keys[2] <= keys[0] and len(keys[0]) < 40
