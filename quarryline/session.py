@@ -29,16 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a folder of our own is made.
+    Where that is unset, a local master (tests, a laptop) gets a folder of its own; on a cluster it is an
+    error, as a folder of one machine would lose rows.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_quarryline_root", None)
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark._quarryline_root = root
-    return root
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _ROOTS.get(context.applicationId) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _ROOTS[context.applicationId] = root
+    return root.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
