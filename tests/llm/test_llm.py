@@ -386,13 +386,13 @@ def test_cut_copies_in_a_hot_group(spark):
     assert got == {i for i in range(200) if i % 2}
 
 
-def test_window_minima_are_shared_by_common_runs():
+def test_bands_are_shared_by_common_runs():
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 2**63, 90, dtype=np.uint64)
-    b = np.concatenate([rng.integers(0, 2**63, 17, dtype=np.uint64), a[30:60]])
-    flat = np.concatenate([a, b, a[:5], a[:4]])
-    grams = S.shingle_hashes(flat, truncation.SHINGLE)
-    at, own = truncation.window_minima(grams, np.array([0, 90, 137, 142]), np.array([90, 47, 5, 4]))
-    assert (np.diff(own) >= 0).all() and set(own.tolist()) == {0, 1, 2}
-    keys = [set(grams[at[own == k]].tolist()) for k in range(3)]
-    assert keys[0] & keys[1] and keys[2] <= keys[0] and len(keys[0]) < 40
+    a = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    b = np.concatenate([rng.integers(0, 2**63, 17, dtype=np.uint64), a[30:110]])
+    flat = np.concatenate([a, b, a[:13], a[:4]])
+    first, n = np.array([0, 200, 297, 310]), np.array([200, 97, 13, 4])
+    key, at, own, head = truncation.bands(S.shingle_hashes(flat, truncation.SHINGLE), first, n)
+    assert (np.diff(own) >= 0).all() and set(own.tolist()) == {0, 1, 2} and (at >= 0).all() and (at < n[own]).all()
+    keys = [set(key[own == k].tolist()) for k in range(3)]
+    assert len(keys[0] & keys[1]) >= 5 and keys[2] <= keys[0] and len(keys[0]) < 40 and head[own == 2].all()
