@@ -123,22 +123,31 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- 7 mixture
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return mixing.mix(_doc_tokens(spark, d), table(spark, d, "mix_targets"))
+
+
 def p7_uses(spark: SparkSession, d: str) -> DataFrame:
-    """How often each document of a targeted source is used."""
-    uses, _, _ = mixing.mix(_doc_tokens(spark, d), table(spark, d, "mix_targets"))
-    return uses.select(F.col("id").alias("doc_id"), "source", "n_tokens", "uses")
+    """How often each document of a targeted source comes in the scheduled sequence."""
+    texts, _, order = _mixture(spark, d)
+    each = mixing.sequence(texts, order)
+    return each.groupBy("source", "start", "id", "n_tokens").agg(F.count("slot").cast("int").alias("uses")).select(F.col("id").alias("doc_id"), "source", "n_tokens", "uses")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of every source of the mixture."""
-    _, report, _ = mixing.mix(_doc_tokens(spark, d), table(spark, d, "mix_targets"))
-    return report
+    return _mixture(spark, d)[1]
 
 
 def p7_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Every use of a document in the order in which the sources are interleaved."""
-    uses, _, schedule = mixing.mix(_doc_tokens(spark, d), table(spark, d, "mix_targets"))
-    return mixing.sequence(uses, schedule).withColumnRenamed("id", "doc_id")
+    texts, _, order = _mixture(spark, d)
+    return mixing.sequence(texts, order).where("slot is not null").drop("start").withColumnRenamed("id", "doc_id")
+
+
+def p7_lags(spark: SparkSession, d: str) -> DataFrame:
+    """Per source of the sequence: how far it ever is ahead of or behind its share, in blocks, and blocks outside their window (none)."""
+    return mixing.lags(_mixture(spark, d)[2])
 
 
 # ---------------------------------------------------------------- 8 texts cut off
@@ -159,7 +168,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_contains_pii": p2_contains_pii, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_sequence": p7_sequence, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_contains_pii": p2_contains_pii, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_sequence": p7_sequence, "p7_lags": p7_lags, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:

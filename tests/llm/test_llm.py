@@ -1,6 +1,7 @@
 """Operators for training data against brute force, exact round trips and edge cases."""
 
 import datetime as dt
+import heapq
 import random
 import re
 from fractions import Fraction
@@ -239,6 +240,22 @@ def test_packing(spark):
     assert sorted(used.index) == list(range(len(used)))
 
 
+def test_packing_over_many_ranges(spark):
+    """Small ranges, matched across, fill as well as one."""
+    rng = random.Random(9)
+    sizes = [min(1000, max(1, int(rng.lognormvariate(4.5, 1.2)))) for _ in range(2500)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, n int")
+    got = packing.pack(df, "id", "n", 1000, range_rows=40, salt_rows=100).toPandas()
+    assert sorted(zip(got.id, got["size"])) == list(enumerate(sizes))
+    used = got.groupby("container")["size"].sum()
+    assert used.max() <= 1000 and len(used) <= 1.03 * sum(sizes) / 1000 + 1 and sorted(used.index) == list(range(len(used)))
+
+
+def test_brackets():
+    matches, gaps, docs = packing.brackets([(0, 3, 5), (1, 2, 4), (2, 7, 1), (3, 9, 0)])
+    assert matches == [(0, 0, 1, 0, 2), (1, 0, 2, 0, 4), (0, 2, 2, 4, 3), (2, 0, 3, 0, 1)] and docs == {0: 0, 1: 2, 2: 7, 3: 1} and gaps == {0: 5, 1: 4, 2: 1}
+
+
 def test_packing_edges(spark):
     empty = spark.createDataFrame([], "id long, n int")
     assert packing.pack(empty, "id", "n", 10).count() == 0
@@ -249,14 +266,41 @@ def test_packing_edges(spark):
 
 
 # ---------------------------------------------------------------- mixture
-def test_pfair_stays_within_a_block():
-    weights = {"a": 50, "b": 31, "c": 12, "d": 7, "zero": 0}
-    order = mixing.pfair(weights, 500)
-    done = dict.fromkeys(weights, 0)
-    for t, (s, j) in enumerate(order, 1):
-        assert j == done[s]
+def earliest_first(counts):
+    """One run over all slots."""
+    n = sum(counts.values())
+    jobs = sorted((j * n // m, -(-(j + 1) * n // m), s, j) for s, m in counts.items() for j in range(m))
+    at, ready, out = 0, [], []
+    for t in range(n):
+        while at < len(jobs) and jobs[at][0] <= t:
+            heapq.heappush(ready, jobs[at][1:])
+            at += 1
+        due, s, j = heapq.heappop(ready)
+        assert due > t
+        out.append((s, j))
+    return out
+
+
+@pytest.mark.parametrize("counts,segment", [({"a": 50, "b": 31, "c": 12, "d": 7, "zero": 0}, 8), ({f"s{i}": i * i + 1 for i in range(9)}, 16), ({"one": 1}, 4)])
+def test_segments_give_the_order_of_one_run(spark, counts, segment):
+    order = mixing.schedule(spark.createDataFrame(list(counts.items()), "source string, n_blocks long"), segment)
+    got = [(r.source, r.block) for r in order.orderBy("slot").collect()]
+    assert got == earliest_first(counts)
+    done, n = dict.fromkeys(counts, 0), len(got)
+    for t, (s, _) in enumerate(got, 1):
         done[s] += 1
-        assert all(abs(done[k] - Fraction(w, 100) * t) < 1 for k, w in weights.items())
+        assert all(abs(done[k] - Fraction(m, n) * t) < 1 for k, m in counts.items())
+    assert mixing.lags(order).where("n_outside > 0 or most_ahead >= 1 or most_behind >= 1").count() == 0
+
+
+def test_quotas_fill_small_sources_first(spark):
+    rows = [("big", 0.5, 1, 1000), ("mid", 0.3, 2, 1000), ("small", 0.2, 2, 20), ("none", 0.1, 1, 0), ("off", 0.0, 5, 50)]
+    df = spark.createDataFrame(rows, "source string, share double, most int, held long")
+    quota = lambda b: {r.source: r.quota for r in mixing.quotas(df, b).collect()}
+    assert quota(840) == {"big": 500, "mid": 300, "small": 40, "none": 0, "off": 0}
+    assert quota(100) == {"big": 50, "mid": 30, "small": 20, "none": 0, "off": 0}
+    assert quota(10_000) == {"big": 1000, "mid": 2000, "small": 40, "none": 0, "off": 0}
+    assert quota(0) == dict.fromkeys(("big", "mid", "small", "none", "off"), 0) and mixing.quotas(df.limit(0), None).count() == 0
 
 
 def test_mix(spark):
@@ -264,34 +308,35 @@ def test_mix(spark):
     rows = [(i, rng.choice(["big"] * 8 + ["mid", "mid", "tiny"]), rng.randint(1, 60)) for i in range(3000)] + [(9001, None, 5), (9002, "other", 5), (9003, "mid", 0)]
     sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
     targets = spark.createDataFrame([("big", 0.45, 1), ("mid", 0.25, 3), ("tiny", 0.25, 2), ("gone", 0.05, 9), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
-    uses, report, schedule = mixing.mix(sizes, targets, budget=80_000, slots=256)
+    uses, report, order = mixing.mix(sizes, targets, budget=80_000, block=300, segment=64)
     u = uses.toPandas()
     r = report.toPandas().set_index("source")
     held = u.groupby("source").n_tokens.sum()
     assert (u.groupby("source").uses.max() <= u.source.map({"big": 1, "mid": 3, "tiny": 2}).groupby(u.source).first()).all()
     assert r.used_tokens["tiny"] == 2 * held["tiny"] and r.used_tokens["gone"] == 0 and abs(r.actual_share.sum() - 1) < 1e-9
     assert abs(r.used_tokens["big"] / r.used_tokens["mid"] - 9 / 5) < 0.02
-    s = mixing.sequence(uses, schedule).toPandas()
-    assert len(s) == u.uses.sum() and s.groupby("id").size().to_dict() == u[u.uses > 0].set_index("id").uses.to_dict() and schedule.count() == 256
-    none, report, _ = mixing.mix(sizes.limit(0), targets)
-    assert none.count() == 0 and report.agg(F.sum("used_tokens")).first()[0] == 0
+    s = mixing.sequence(uses, order, block=300).toPandas()
+    s = s[s.slot.notna()]
+    assert len(s) == u.uses.sum() and s.groupby("id").size().to_dict() == u[u.uses > 0].set_index("id").uses.to_dict()
+    # after any slot each source is close to its part of the tokens
+    total, took = s.n_tokens.sum(), s.sort_values(["slot", "position"])
+    for k in ("big", "mid", "tiny"):
+        gap = (took.n_tokens * (took.source == k)).cumsum() - took.n_tokens.cumsum() * (s[s.source == k].n_tokens.sum() / total)
+        assert gap.abs().max() < 2 * 300 + 60
+    none, report, order = mixing.mix(sizes.limit(0), targets)
+    assert none.count() == 0 and report.agg(F.sum("used_tokens")).first()[0] == 0 and order.count() == 0
 
 
 def test_mix_keeps_small_sources(spark):
-    """Sources far below a slot's part of the tokens keep all their uses, and the large ones their pace."""
+    """Sources far below a block keep all their uses; a lost slot is an error."""
     rows = [(i, "big", 100) for i in range(4000)] + [(5000 + i, "mid", 100) for i in range(2000)] + [(9001, "s1", 7), (9002, "s2", 3), (9003, "s2", 2), (9004, "s3", 2400)]
     sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
     targets = spark.createDataFrame([("big", 0.6, 1), ("mid", 0.3, 1), ("s1", 0.03, 2), ("s2", 0.03, 1), ("s3", 0.04, 1)], "source string, target_share double, max_repeats int")
-    uses, _, schedule = mixing.mix(sizes, targets, slots=128)
-    s, u = mixing.sequence(uses, schedule).toPandas(), uses.toPandas()
+    uses, _, order = mixing.mix(sizes, targets, segment=100)
+    s, u = mixing.sequence(uses, order).where("slot is not null").toPandas(), uses.toPandas()
     assert s.groupby("id").size().to_dict() == u[u.uses > 0].set_index("id").uses.to_dict() and set(s.source) == {"big", "mid", "s1", "s2", "s3"}
-    order, size = schedule.toPandas().sort_values("slot"), schedule.first().block_tokens
-    assert len(order) == 128 and (order.source == "s1").sum() == (order.source == "s2").sum() == 1
-    used = u.assign(n=u.uses * u.n_tokens).groupby("source").n.sum()
-    for k in ("big", "mid"):
-        assert max(abs((order.source == k).cumsum().to_numpy() * size - used[k] * np.arange(1, 129) / 128)) < size + 100
     with pytest.raises(Exception, match="no slot for source s1"):
-        mixing.sequence(uses, schedule.where("source <> 's1'")).collect()
+        mixing.sequence(uses, order.where("source <> 's1'")).collect()
 
 
 def test_token_counts(spark):
