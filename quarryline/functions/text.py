@@ -64,7 +64,7 @@ def around(c: Column | str, subject: Column | str, radius: int = 60) -> Column:
     at = F.instr(F.lower(c), F.lower(subject))
     start = F.greatest(at - radius, F.lit(1))
     end = F.least(at + F.length(subject) + radius - 1, F.length(c))
-    cut = F.concat(F.when(start > 1, F.lit("…")).otherwise(F.lit("")), c.substr(start, end - start + 1), F.when(end < F.length(c), F.lit("…")).otherwise(F.lit("")))
+    cut = F.concat(F.when(start > 1, F.lit("...")).otherwise(F.lit("")), c.substr(start, end - start + 1), F.when(end < F.length(c), F.lit("...")).otherwise(F.lit("")))
     return F.when(at > 0, cut)
 
 

@@ -53,11 +53,34 @@ def log_loss(p: Column, y: Column, eps: float = 1e-12) -> Column:
     return F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q)))
 
 
-def ranking_quality(hits: DataFrame, query: str, rank: str, relevant: str, k: int) -> DataFrame:
-    """One row: n queries, hit@k and mean reciprocal rank of the first relevant hit."""
-    first = hits.groupBy(query).agg(F.min(F.when(F.col(relevant), F.col(rank))).alias("first"))
-    return first.agg(
+def ranking_quality(hits: DataFrame, query: str, rank: str, relevant: str, k: int, by: list[str] | None = None) -> DataFrame:
+    """n queries, hit@k and mean reciprocal rank of the first relevant hit: one row, or one for each value of ``by``."""
+    first = hits.groupBy(query, *(by or [])).agg(F.min(F.when(F.col(relevant), F.col(rank))).alias("first"))
+    return first.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg((F.coalesce(F.col("first") <= k, F.lit(False))).cast("double")), 4).alias("hit_at_k"),
         F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 4).alias("mrr"),
     )
+
+
+def share_passed(passed: str, first: Column, fallback: Column) -> Column:
+    """Percentage passed of the rows of ``first``, or of those of ``fallback`` if there are none; null without either."""
+    share = lambda rows: 100 * F.avg(F.when(rows, F.col(passed).cast("double")))
+    return F.when(F.count_if(first) > 0, share(first)).otherwise(share(fallback))
+
+
+def threshold_choice(rows: DataFrame, thresholds: list[float], floor: float, weights: tuple[float, float, float], floors: tuple[float, float]) -> DataFrame:
+    """(threshold, refuse, escalate, answer, score, eligible, chosen) for (p, bucket) with buckets out_of_corpus, underspecified and answer.
+
+    A row is confident from the threshold on and insufficient below threshold and floor. The shares of refused, escalated and answered rows (1 for an empty bucket) are weighted; of the
+    thresholds that meet both floors (all, if none does) the best is chosen, the lowest of equals. Every row meets all thresholds in one pass.
+    """
+    t = F.col("threshold")
+    x = rows.select("p", "bucket", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    share = lambda bucket, ok: F.coalesce(F.avg(F.when(F.col("bucket") == bucket, ok.cast("double"))), F.lit(1.0))
+    s = x.groupBy("threshold").agg(share("out_of_corpus", F.col("p") < F.least(t, F.lit(floor))).alias("a"), share("underspecified", F.col("p") < t).alias("b"), share("answer", F.col("p") >= t).alias("c"))
+    score = F.round(weights[0] * F.col("a") + weights[1] * F.col("b") + weights[2] * F.col("c"), 9)
+    w = s.select("threshold", F.round("a", 9).alias("refuse"), F.round("b", 9).alias("escalate"), F.round("c", 9).alias("answer"), score.alias("score"))
+    w = w.withColumn("eligible", (F.col("refuse") >= floors[0]) & (F.col("escalate") >= floors[1]))
+    best = W.partitionBy(F.lit(0)).orderBy(F.desc("eligible"), F.desc("score"), "threshold")  # one row a threshold
+    return w.withColumn("chosen", F.row_number().over(best) == 1)

@@ -2,8 +2,9 @@
 
 A store holds the raw observations and, by bucket of entities, the built chains. An update (new, late or
 corrected observations) is appended to the raw data; then only the raw rows of the entities it touches are read, all their intervals are
-rebuilt, and the buckets that hold them are written anew. A manifest names the current files of every
-bucket and is swapped by one rename, so a reader sees all of an update's chains or none, and a failed update changes nothing.
+rebuilt, and the buckets that hold them are written anew. Numbered manifests name the current files; the next number is taken by
+one rename that fails if another update took it, so a reader sees all of an update's chains or none, a failed update changes nothing, and of two updates at once
+one fails. The first update chooses the number of buckets by its size and the manifest keeps it; a bucket that has grown is written by several tasks, rows sorted by entity.
 
 Defined results: rows without entity, time or, unless a deletion, digest tell nothing; of several rows for one entity and time the last
 received counts (then the greatest row id; null receipt times first); repeated rows change nothing; entities seen only as deleted have no version; an empty input gives an empty
@@ -50,38 +51,57 @@ def chains(obs: DataFrame) -> DataFrame:
     return spans.select("entity", F.row_number().over(by).cast("long").alias("version"), "digest", F.col("seen_at").alias("valid_from"), "valid_to")
 
 
+#: Observations to a bucket when a store begins, and to a task that writes one; least number of buckets.
+BUCKET_ROWS, TASK_ROWS, LEAST_BUCKETS = 250_000, 1_000_000, 8
+
+
 class HistoryStore:
     """Raw observations and current chains under ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 32) -> None:
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None) -> None:
+        self.spark, self.root, self.wanted = spark, root.rstrip("/"), buckets
         self._path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _bucket(self, c: str = "entity") -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+    def _versions(self) -> list[int]:
+        at = self._path(f"{self.root}/manifests")
+        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(at) if f.getPath().getName().isdigit()) if self._fs.exists(at) else []
 
     def manifest(self) -> dict:
-        """{"raw": [folders], "buckets": {bucket: folder}} of the last finished update."""
-        at = self._path(f"{self.root}/MANIFEST")
-        if not self._fs.exists(at):
-            return {"raw": [], "buckets": {}}
-        stream = self._fs.open(at)
+        """{"version", "buckets_of", "rows", "raw": [folders], "buckets": {bucket: folder}} of the last finished update."""
+        versions = self._versions()
+        if not versions:
+            return {"version": 0, "buckets_of": None, "rows": 0, "raw": [], "buckets": {}}
+        stream = self._fs.open(self._path(f"{self.root}/manifests/{versions[-1]:09d}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _swap(self, manifest: dict) -> None:
-        new = self._path(f"{self.root}/MANIFEST-{uuid.uuid4().hex}")
+    def _publish(self, manifest: dict) -> None:
+        new = self._path(f"{self.root}/manifests/.new-{uuid.uuid4().hex}")
         out = self._fs.create(new)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        uri, conf, J = self._fs.getUri(), self.spark._jsc.hadoopConfiguration(), self.spark._jvm
-        context = J.org.apache.hadoop.fs.FileContext.getFileContext(uri, conf)
-        overwrite = self.spark.sparkContext._gateway.new_array(J.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = J.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, self._path(f"{self.root}/MANIFEST"), overwrite)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:  # without the option to overwrite
+            context.rename(new, self._path(f"{self.root}/manifests/{manifest['version']:09d}"), self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+        except Exception as e:
+            self._fs.delete(new, False)
+            raise RuntimeError(f"another update took version {manifest['version']}; apply again") from e
+
+    def vacuum(self) -> None:
+        """Delete chains that the last manifest does not name, and the manifests before it; not while readers of older ones are at work."""
+        last, versions = self.manifest(), self._versions()
+        for v in versions[:-1]:
+            self._fs.delete(self._path(f"{self.root}/manifests/{v:09d}"), False)
+        at = self._path(f"{self.root}/chains")
+        live = {p.rsplit("/", 2)[-2] + "/" + p.rsplit("/", 1)[-1] for p in last["buckets"].values()}
+        for update in self._fs.listStatus(at) if self._fs.exists(at) else []:
+            for part in self._fs.listStatus(update.getPath()):
+                if part.isDirectory() and f"{update.getPath().getName()}/{part.getPath().getName()}" not in live:
+                    self._fs.delete(part.getPath(), True)
 
     def _read(self, kind: str, paths: list[str], schema: str) -> DataFrame:
         if not paths:
@@ -98,25 +118,31 @@ class HistoryStore:
     def apply(self, updates: DataFrame) -> None:
         """Take in observations and rebuild the chains of the entities they touch."""
         old, name = self.manifest(), uuid.uuid4().hex
+        n = old["buckets_of"]
+        if n is None:
+            n = self.wanted or max(LEAST_BUCKETS, -(-updates.count() // BUCKET_ROWS))
+        elif self.wanted not in (None, n):
+            raise ValueError(f"the store has {n} buckets, not {self.wanted}")
+        number = F.pmod(F.xxhash64("entity"), F.lit(n)).cast("int")
+        tasks = max(1, old["rows"] // (n * TASK_ROWS) + 1)
+        spread = lambda df: df.repartition("bucket", F.pmod(F.xxhash64(F.lit(1), "entity"), F.lit(tasks))).sortWithinPartitions("bucket", "entity")
         delta = f"{self.root}/raw/delta={name}"
-        updates.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(delta)
+        spread(updates.withColumn("bucket", number)).write.partitionBy("bucket").parquet(delta)
         fresh = self._read("raw", [delta], RAW)
-        # the touched buckets: at most ``buckets`` numbers; partition pruning then reads only their raw rows and chains
-        hit = sorted(r[0] for r in fresh.select("bucket").distinct().collect())
-        raw = old["raw"] + [delta]
+        # the touched buckets: numbers below ``n``; partition pruning then reads only their raw rows and chains
+        seen = fresh.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+        hit, raw, buckets = sorted(r["bucket"] for r in seen), old["raw"] + [delta], old["buckets"]
         if hit:
             touched = fresh.select("entity", "bucket").distinct()
             every = self._read("raw", raw, RAW).where(F.col("bucket").isin(hit))
-            rebuilt = chains(every.join(touched, ["entity", "bucket"], "left_semi")).withColumn("bucket", self._bucket())
+            rebuilt = chains(every.join(touched, ["entity", "bucket"], "left_semi")).withColumn("bucket", number)
             kept = self._read("chains", [old["buckets"][str(b)] for b in hit if str(b) in old["buckets"]], CHAIN).join(touched, ["entity", "bucket"], "left_anti")
             rows = rebuilt.unionByName(kept.select(*rebuilt.columns)).select(*(F.col(f.name) for f in T._parse_datatype_string(CHAIN).fields))
             chain_root = f"{self.root}/chains/update={name}"
-            rows.repartition("bucket").withColumn("b", F.col("bucket")).write.partitionBy("b").parquet(chain_root)
+            spread(rows).withColumn("b", F.col("bucket")).write.partitionBy("b").parquet(chain_root)
             written = {b for b in hit if self._fs.exists(self._path(f"{chain_root}/b={b}"))}
             buckets = {k: v for k, v in old["buckets"].items() if int(k) not in hit} | {str(b): f"{chain_root}/b={b}" for b in written}
-        else:
-            buckets = old["buckets"]
-        self._swap({"raw": raw, "buckets": buckets})
+        self._publish({"version": old["version"] + 1, "buckets_of": n, "rows": old["rows"] + sum(r["n"] for r in seen), "raw": raw, "buckets": buckets})
 
 
 def history_from_deliveries(snapshots: DataFrame, late_after: str = "1 day", root: str | None = None) -> DataFrame:

@@ -21,10 +21,10 @@ def block_offsets(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("char_start", start).withColumn("char_end", start + F.length("text"))
 
 
-def section_paths(blocks: DataFrame, deepest: int = 9) -> DataFrame:
+def section_paths(blocks: DataFrame, deepest: int = 16) -> DataFrame:
     """Adds section_path: the headings open at each block, outermost first.
 
-    A heading closes those of its level and deeper. One running window a level carries its last heading; a heading still open is one
+    A heading closes those of its level and deeper; levels below ``deepest`` count as it. One running window a level carries its last heading; a heading still open is one
     with no later heading of its level or above, so nothing is collected per document.
     """
     order = W.partitionBy("doc_id").orderBy("block_idx").rowsBetween(W.unboundedPreceding, 0)
@@ -44,9 +44,34 @@ def fixed_windows(docs: DataFrame, most: int = 400, overlap: float = 0.12) -> Da
     step = max(1, most - int(most * overlap))
     tok = docs.select("doc_id", X.tokens("text").alias("all")).where(F.size("all") > 0)
     last = F.greatest(F.ceil((F.size("all") - most) / F.lit(step)), F.lit(0)).cast("int")
-    each = tok.select("doc_id", "all", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    start = F.col("chunk_index") * step
-    return each.select("doc_id", "chunk_index", start.alias("token_start"), F.least(F.lit(most), F.size("all") - start).alias("token_count"), F.slice("all", start + 1, most).alias("tokens"))
+    # sliced before they are exploded, so that no window carries the whole text
+    cut = lambda k: F.struct(k.alias("chunk_index"), (k * step).alias("token_start"), F.least(F.lit(most), F.size("all") - k * step).alias("token_count"), F.slice("all", k * step + 1, most).alias("tokens"))
+    return tok.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), last), cut)).alias("w")).select("doc_id", "w.*")
+
+
+PAGE_NUMBER = r"(?i)^(page\s+)?\d{1,4}(\s*(of|/)\s*\d{1,4})?$"
+
+
+def running_blocks(blocks: DataFrame, share: float = 0.4, least: int = 3) -> DataFrame:
+    """(doc_id, block_idx, reason) of blocks of paged documents to be stripped: texts that, digits apart, are on ``share`` of the document's pages (and ``least``), and bare page numbers."""
+    b = blocks.where("page is not null and text is not null").select("doc_id", "block_idx", "page", F.trim("text").alias("t"), F.regexp_replace(X.squeeze(F.lower("text")), "[0-9]+", "#").alias("k"))
+    pages = b.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
+    seen = b.select("doc_id", "k", "page").distinct().groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("hits"))
+    running = F.col("hits") >= F.greatest(F.lit(least), F.floor(F.lit(share) * F.col("pages")))
+    return b.join(pages, "doc_id").join(seen, ["doc_id", "k"]).where(running | F.col("t").rlike(PAGE_NUMBER)).select("doc_id", "block_idx", F.when(running, "running").otherwise("page_number").alias("reason"))
+
+
+def block_pieces(blocks: DataFrame, most: int, namespace: str, params: str) -> DataFrame:
+    """(chunk_id, doc_id, chunk_index, block_idx, page_start, page_stop, token_count, tokens): blocks cut into windows of ``most`` tokens without overlap.
+
+    Blank blocks give nothing; the index is dense within the document; the id is made of document, digest of the parameters and index.
+    """
+    tok = blocks.select("doc_id", "block_idx", "page", F.coalesce("page_end", "page").alias("page_stop"), X.tokens("text").alias("all")).where(F.size("all") > 0)
+    cut = lambda k: F.struct(k.alias("part"), F.slice("all", k * most + 1, most).alias("tokens"))
+    each = tok.select("doc_id", "block_idx", "page", "page_stop", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / most).cast("int")), cut)).alias("w")).select("*", "w.*")
+    index = F.row_number().over(W.partitionBy("doc_id").orderBy("block_idx", "part")) - 1
+    name = F.concat_ws("|", F.col("doc_id").cast("string"), F.lit("blocks"), F.substring(F.sha1(F.lit(params)), 1, 8), F.col("chunk_index").cast("string"))
+    return each.withColumn("chunk_index", index).select(X.uuid5(namespace, name).alias("chunk_id"), "doc_id", "chunk_index", "block_idx", F.col("page").alias("page_start"), "page_stop", F.size("tokens").alias("token_count"), "tokens")
 
 
 def block_at(points: DataFrame, blocks: DataFrame) -> DataFrame:

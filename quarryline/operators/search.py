@@ -26,55 +26,164 @@ def _blocks(df: DataFrame, group: str, rows: int, salt: str) -> DataFrame:
     )
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 256, vector_block: int = 4096) -> DataFrame:
-    """(group, query_id, id, score, rank): the ``k`` vectors of the query's group with the greatest cosine, exact.
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 256, vector_block: int = 2048, digits: int | None = None) -> DataFrame:
+    """(group, query_id, id, score, rank): the ``k`` vectors of the query's group with the greatest cosine, exact (rounded to ``digits`` before ranking).
 
-    Both sides are (group, id, vec) with vectors of one length a group and positive norm. Blocks of queries meet blocks of vectors, a matrix product a pair; each
-    pair keeps k a query, and a window keeps k of these. A query is not its own hit. Equal scores rank by id.
+    Both sides are (group, id, vec) with vectors of one length a group and positive norm. Each block of queries goes to every block of vectors of its group, a matrix product a pair;
+    blocks of vectors do not move but for the one shuffle by (group, block). Each pair keeps k a query, and a window keeps k of these. A query is not its own hit. Equal scores rank by id.
     """
-    q = _blocks(queries, "group", query_block, "q").select("group", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("block").alias("q_block"))
+    q = _blocks(queries, "group", query_block, "q").select("group", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
     v = _blocks(vectors, "group", vector_block, "v")
+    goals = vectors.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(vector_block)), F.lit(1)).alias("parts"))
+    types = [queries.schema["id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()]
+    own = lambda x: x.values.to_numpy(zero_copy_only=False)
+    text = types[1] == "string"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for r in range(batch.num_rows):
                 group, q_ids, q_vecs, ids, vecs = (batch.column(c)[r] for c in range(5))
-                qi, vi = q_ids.values.to_numpy(), ids.values.to_numpy()
+                qi, vi = own(q_ids), own(ids)
+                order = vi.astype(str) if text else vi
                 a = q_vecs.values.to_numpy().astype(np.float64).reshape(len(qi), -1)
                 b = vecs.values.to_numpy().astype(np.float64).reshape(len(vi), -1)
                 s = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-                s[qi[:, None] == vi[None, :]] = -np.inf
-                top = np.lexsort((np.broadcast_to(vi, s.shape), -s), axis=1)[:, :k]
+                s = s if digits is None else np.round(s, digits)
+                if types[0] == types[1]:
+                    s[qi[:, None] == vi[None, :]] = -np.inf
+                top = np.lexsort((np.broadcast_to(order, s.shape), -s), axis=1)[:, :k]
                 val = np.take_along_axis(s, top, 1)
                 ok = np.isfinite(val)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([group.as_py()] * int(ok.sum()), pa.string()), pa.array(np.repeat(qi, ok.sum(1))), pa.array(vi[top][ok]), pa.array(val[ok])], names=["group", "query_id", "id", "score"]
                 )
 
-    pairs = q.join(v, "group").repartition("group", "q_block", "block").select("group", "q_ids", "q_vecs", "ids", "vecs")
-    hits = pairs.mapInArrow(run, "group string, query_id long, id long, score double")
+    sent = q.join(goals, "group").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    hits = sent.join(v, ["group", "block"]).select("group", "q_ids", "q_vecs", "ids", "vecs").mapInArrow(run, f"group string, query_id {types[0]}, id {types[1]}, score double")
     ranked = W.partitionBy("group", "query_id").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
-def bm25_topk(questions: DataFrame, passages: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(question_id, passage_id, score, rank) of the ``k`` best passages by BM25 over lower-cased words.
+def bm25_hits(questions: DataFrame, passages: DataFrame, k1: float = 1.2, b: float = 0.75, most_terms: int = 2_000_000, salt_rows: int = 200_000) -> DataFrame:
+    """(question_id, passage_id, score) of all passages that have a word of the question, by BM25 over lower-cased words.
 
-    (question_id, text) against (passage_id, text). Corpus statistics cover all passages; postings are cut to the terms asked for before they are
-    joined, and scores add up per question and passage with a partial sum before the shuffle.
+    (question_id, text) against (passage_id, text). Corpus statistics cover all passages. A passage is taken into words once; its words are cut to those asked for before they are
+    exploded (the asked words go to every task up to ``most_terms`` of them, else by a join), and what is left is written once. Terms with very many postings are joined in salted parts.
     """
-    asked = questions.select("question_id", F.explode(F.array_distinct(X.words("text"))).alias("term"))
-    # two passes over the passages, one for lengths and one for the postings asked for; both results are small and written once
-    size = materialize(passages.select("passage_id", F.size(X.words("text")).alias("len")), "lengths")
-    whole = size.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    terms = passages.select("passage_id", F.explode(X.words("text")).alias("term"))
-    postings = materialize(terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("passage_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = materialize(questions.select("question_id", F.explode(F.array_distinct(X.words("text"))).alias("term")), "asked")
+    terms = asked.select("term").distinct()
+    words = passages.select("passage_id", X.words("text").alias("ws"))
+    if terms.count() <= most_terms:
+        wanted = F.broadcast(terms.agg(F.map_from_arrays(F.collect_list("term"), F.collect_list(F.lit(True))).alias("wanted")))
+        kept = words.join(wanted).select("passage_id", F.size("ws").alias("len"), F.filter("ws", lambda w: F.coalesce(F.col("wanted")[w], F.lit(False))).alias("ws"))
+        rows = materialize(kept, "words")
+        postings = rows.select("passage_id", "len", F.explode("ws").alias("term")).groupBy("passage_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    else:
+        rows = materialize(words.select("passage_id", F.size("ws").alias("len")), "lengths")
+        postings = words.select("passage_id", F.size("ws").alias("len"), F.explode("ws").alias("term")).join(terms, "term", "left_semi").groupBy("passage_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = materialize(postings, "postings")
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    salts = F.greatest(F.ceil(F.col("df") / salt_rows), F.lit(1)).cast("int")
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("salts", salts)
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scored = postings.join(df, "term").join(size, "passage_id").join(F.broadcast(whole)).select("term", "passage_id", weight.alias("w"))
-    hits = asked.join(scored, "term").groupBy("question_id", "passage_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    scored = postings.join(df, "term").join(F.broadcast(whole)).select("term", "passage_id", F.pmod(F.xxhash64("passage_id"), F.col("salts")).cast("int").alias("salt"), weight.alias("w"))
+    salted = asked.join(df.select("term", "salts"), "term").select("question_id", "term", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return salted.join(scored, ["term", "salt"]).groupBy("question_id", "passage_id").agg(F.round(F.sum("w"), 6).alias("score"))
+
+
+def bm25_topk(questions: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    """(question_id, passage_id, score, rank) of the ``k`` best passages by BM25."""
     ranked = W.partitionBy("question_id").orderBy(F.desc("score"), "passage_id")
-    return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return bm25_hits(questions, passages).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+
+
+def hashed_words(texts: DataFrame, key: str, dim: int = 256) -> DataFrame:
+    """(key, vec): signed counts of a text's words hashed to ``dim`` places, by built-in digests; texts whose counts cancel out are left out."""
+    word = texts.select(key, F.explode(X.words("text")).alias("w")).withColumn("h", F.md5("w"))
+    place = F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % dim
+    sign = F.when(F.conv(F.substring("h", 5, 1), 16, 10).cast("int") >= 8, 1.0).otherwise(-1.0)
+    counts = word.groupBy(key, place.alias("place")).agg(F.sum(sign).alias("n")).where("n <> 0")
+    at = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("at"))  # at most ``dim`` entries
+    return at.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("at")[i], F.lit(0.0)).cast("float")).alias("vec"))
+
+
+def where(doc_id: object = None, source_file: str | None = None, doc_type: str | None = None, jurisdiction: str | None = None, document_scope: list[str] | None = None) -> Column:
+    """A caller's filters on passages, all of which must hold; empty ones are ignored."""
+    out = F.lit(True)
+    for name, value in (("doc_id", doc_id), ("source_file", source_file), ("doc_type", doc_type), ("jurisdiction", jurisdiction)):
+        if value:
+            out = out & (F.col(name) == value)
+    return out & F.col("source_file").isin(document_scope) if document_scope else out
+
+
+def open_to(tenant: Column, visibility: Column, caller_tenant: Column) -> Column:
+    """What a search filtered by tenant may return: own or global and not private; without a tenant only what is global and public."""
+    t, v = F.coalesce(tenant, F.lit("global")), F.coalesce(visibility, F.lit("tenant"))
+    return F.when(caller_tenant.isNull(), (t == "global") & (v == "public")).otherwise(((t == "global") | (t == caller_tenant)) & v.isin("tenant", "public"))
+
+
+def hybrid(questions: DataFrame, passages: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
+    """(question_id, passage_id, fused_score, n_lists, fused_rank) of the ``k`` best passages by the fused ranks of BM25 and hashed vectors.
+
+    Questions are (question_id, text, tenant), passages (passage_id, text, tenant_id, visibility and what ``keep`` filters by). Tenancy and filters hold inside both legs, before
+    their ``k`` best; BM25 statistics cover all passages. Vectors meet only within the groups a question may see: its tenant's and the global one, or what anybody sees.
+    """
+    kept = passages.where(keep) if keep is not None else passages
+    flags = kept.select("passage_id", F.coalesce("tenant_id", F.lit("global")).alias("tenant_id"), F.coalesce("visibility", F.lit("tenant")).alias("visibility")).where("visibility in ('tenant', 'public')")
+    sparse = bm25_hits(questions, passages).join(flags, "passage_id").join(questions.select("question_id", "tenant"), "question_id").where(open_to(F.col("tenant_id"), F.col("visibility"), F.col("tenant"))).select("question_id", "passage_id", "score")
+    anybody = F.lit("\0")  # no tenant's name
+    seen = F.when((F.col("tenant_id") == "global") & (F.col("visibility") == "public"), F.array(F.lit("global"), anybody)).otherwise(F.array("tenant_id"))
+    v = hashed_words(kept, "passage_id").join(flags, "passage_id").select(F.explode(seen).alias("group"), F.col("passage_id").alias("id"), "vec")
+    sees = F.when(F.col("tenant").isNull(), F.array(anybody)).otherwise(F.array_distinct(F.array("tenant", F.lit("global"))))
+    q = hashed_words(questions, "question_id").join(questions.select("question_id", "tenant"), "question_id").select(F.explode(sees).alias("group"), F.col("question_id").alias("id"), "vec")
+    dense = dense_topk(q, v, k, digits=6).select(F.col("query_id").alias("question_id"), F.col("id").alias("passage_id"), "score")
+    by = W.partitionBy("question_id").orderBy(F.desc("score"), "passage_id")
+    legs = [x.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k) for x in (sparse, dense)]
+    return fuse(legs[0].unionByName(legs[1]), "question_id", "passage_id", "rank", k)
+
+
+def rerank(candidates: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best candidates (query_id, chunk_id, fused_rank) by rerank_score with new_rank; those without a score follow in fused order."""
+    by = W.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "fused_rank")
+    return candidates.join(scores, ["query_id", "chunk_id"], "left").withColumn("new_rank", F.row_number().over(by)).where(F.col("new_rank") <= k)
+
+
+def is_hit(file: Column, page_start: Column, page_end: Column, path: Column, gold_file: Column, gold_start: Column, gold_end: Column, section: Column) -> Column:
+    """Whether a chunk answers a labelled question: its file, pages that meet (where labelled), the gold section in the lower-cased path (where labelled)."""
+    pages = gold_start.isNull() | F.coalesce((page_start <= gold_end) & (page_end >= gold_start), F.lit(False))
+    return F.coalesce((file == gold_file) & pages & (section.isNull() | F.contains(F.coalesce(path, F.lit("")), section)), F.lit(False))
+
+
+def without(stored: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
+    """A store after the deletion of all rows with the given keys."""
+    return stored.join(deleted.select(key).distinct(), key, "left_anti")
+
+
+def upserted(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """A store after delete-then-upsert: all rows of the fresh keys are replaced."""
+    return without(stored, fresh, key).unionByName(fresh)
+
+
+def cached_answers(queries: DataFrame, history: DataFrame, least: float, life_us: int) -> DataFrame:
+    """(id, tier, answered_by) for (id, at, k): an earlier row of ``history`` with the same text, else the most similar one (cosine of word sets) of at least ``least``, not older than ``life_us``.
+
+    A row that reaches ``least`` has at least ``least * least`` of a query's words, so only the query's rarest words, as many as cannot all be missing, are looked up.
+    """
+    bag = lambda df: df.select("id", "at", "k", F.array_distinct(X.words("k")).alias("ws"))
+    h, q = bag(history), bag(queries)
+    held = h.select(F.col("id").alias("other"), F.explode("ws").alias("w"))
+    asked = q.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    counts = held.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    rare = asked.join(counts, "w").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "w"))).where(F.col("r") <= F.col("n") - F.ceil(F.lit(least * least) * F.col("n")) + 1)
+    pairs = rare.join(held, "w").where("id <> other").select("id", "other").distinct()
+    o = h.select(F.col("id").alias("other"), F.col("at").alias("o_at"), F.col("k").alias("o_k"), F.col("ws").alias("o_ws"))
+    met = pairs.join(q, "id").join(o, "other").where((F.struct("o_at", "other") < F.struct("at", "id")) & (F.unix_micros("at") - F.unix_micros("o_at") <= life_us))
+    score = F.size(F.array_intersect("ws", "o_ws")) / F.sqrt(F.size("ws").cast("double") * F.size("o_ws"))
+    met = met.withColumn("same", F.col("k") == F.col("o_k")).withColumn("s", score).where((F.col("s") >= least) | F.col("same"))
+    best = W.partitionBy("id").orderBy(F.desc("same"), F.desc(F.round("s", 6)), "o_at", "other")
+    met = met.withColumn("r", F.row_number().over(best)).where("r = 1").select("id", "same", "other")
+    tier = F.when(F.col("same"), "exact").when(F.col("other").isNotNull(), "semantic").otherwise("miss")
+    return queries.select("id").join(met, "id", "left").select("id", tier.alias("tier"), F.col("other").alias("answered_by"))
 
 
 def fuse(ranked: DataFrame, query: str, item: str, rank: str, k: int, constant: int = 60) -> DataFrame:

@@ -153,11 +153,11 @@ def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with c as {DISTINCT_CHUNKS}, n as (select chunk_id, lag(chunk_id) over w as previous_id, lead(chunk_id) over w as next_id from c window w as (partition by doc_id order by chunk_index nulls first, chunk_id))
+    f"""with c as {DISTINCT_CHUNKS}, n as (select chunk_id, lag(chunk_id) over w as previous_id, lead(chunk_id) over w as next_id from c window w as (partition by doc_id order by chunk_index nulls last, chunk_id))
 select * from n"""
 )
 def siblings(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("doc_id").orderBy("chunk_index", "chunk_id")
+    w = W.partitionBy("doc_id").orderBy(F.asc_nulls_last("chunk_index"), "chunk_id")
     return distinct_chunks(spark, d).select("chunk_id", F.lag("chunk_id").over(w).alias("previous_id"), F.lead("chunk_id").over(w).alias("next_id"))
 
 

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quarryline.functions import maths as M
@@ -116,32 +114,41 @@ def collection_counts(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(F.col("embedding_model").alias("model"), "tenant_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count("vec_id").alias("n_vectors"))
 
 
-def hash_embedding(dim: int = 256):
-    """Vectorised function text -> unit vector: signed counts of the words' 64-bit digests."""
+def word_numbers(texts: DataFrame, key: str) -> DataFrame:
+    """(key, w, n, number): the distinct words of every text, how often they come, and the word's unsigned 64-bit digest as decimal.
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        memo: dict[str, int] = {}
-        out = []
-        for t in texts:
-            v = np.zeros(dim, np.float32)
-            for w in (t or "").lower().split():
-                h = memo.get(w)
-                if h is None:
-                    h = memo[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                v[h % dim] += 1.0 if h >> 63 else -1.0
-            norm = np.linalg.norm(v)
-            out.append((v / norm if norm else v).tolist())
-        return pd.Series(out)
+    Every distinct word of the table is digested once (no built-in has this digest), in Arrow batches; the rest is grouping and joining.
+    """
+    words = texts.select(key, F.explode(X.words("text")).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
 
-    return embed
+    @F.pandas_udf("binary")
+    def digest(w: pd.Series) -> pd.Series:
+        return w.map(lambda x: hashlib.blake2b(x.encode(), digest_size=8).digest())
+
+    # the digest is read as a little-endian number
+    known = words.select("w").distinct().withColumn("b", digest("w")).select("w", F.conv(F.regexp_replace(F.hex("b"), "(..)(..)(..)(..)(..)(..)(..)(..)", "$8$7$6$5$4$3$2$1"), 16, 10).cast("decimal(20,0)").alias("number"))
+    return words.join(known, "w")
+
+
+def distinct_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").where("text is not null").select(F.sha2("text", 256).alias("h"), "text").dropDuplicates(["h"])
 
 
 @query()
 def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Hashed embedding of every distinct chunk text, computed once a text; vectors have no SQL form."""
-    t = table(spark, d, "chunks").where("text is not null").select(F.sha2("text", 256).alias("h"), "text").groupBy("h").agg(F.first("text").alias("text"))
-    return t.select("h", hash_embedding()("text").alias("vec")).select("h", F.round(M.dot("vec", "vec"), 3).alias("norm2"), F.size(F.filter("vec", lambda x: x != 0)).alias("n_used"))
+    """Unit vectors of every distinct chunk text, computed once a text: signed counts of its words' digests at 256 places (sparse: places and values)."""
+    w = word_numbers(distinct_texts(spark, d), "h")
+    sign = F.when(F.col("number") >= F.lit("9223372036854775808").cast("decimal(20,0)"), 1).otherwise(-1)
+    v = w.groupBy("h", (F.col("number") % 256).cast("int").alias("place")).agg(F.sum(sign * F.col("n")).alias("v")).where("v <> 0")
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("h")))
+    return v.withColumn("v", F.col("v") / norm).groupBy("h").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("place", "v")))).alias("at")).select("h", F.map_keys("at").alias("places"), F.transform(F.map_values("at"), lambda x: F.round(x, 6)).alias("values"))
+
+
+@query()
+def sparse_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Term frequencies of every distinct chunk text at 2^20 hashed places."""
+    w = word_numbers(distinct_texts(spark, d), "h").groupBy("h", (F.col("number") % (1 << 20)).cast("int").alias("place")).agg(F.sum("n").alias("tf"))
+    return w.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("place", "tf"))).alias("terms"))
 
 
 @query(

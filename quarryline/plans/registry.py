@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.operators import history
-from quarryline.plans import base, corpus, evaluation, governance, retrieval  # noqa: F401  (they register their queries)
+from quarryline.plans import base, corpus, evaluation, governance, retrieval, serving, tuning  # noqa: F401  (they register their queries)
 from quarryline.session import table
 from quarryline.streaming import streams  # noqa: F401
 
@@ -20,7 +20,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Answers to all escalated questions from all chunks."""
-    return retrieval.answers(spark, d, every=1)
+    return serving.answers(spark, d, every=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -209,17 +209,3 @@ def calibration(spark: SparkSession, d: str) -> DataFrame:
     a, b, n, positive = aggregates.logistic_fit(x, "rerank_score", "label")
     p = M.sigmoid("rerank_score", a, b)
     return x.agg(aggregates.log_loss(p, F.col("label")).alias("log_loss"), F.avg((p - F.col("label")) ** 2).alias("brier")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(n).alias("n_samples"), F.lit(positive).alias("n_positive"), "log_loss", "brier")
-
-
-@query()
-def answers(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
-    """Escalated questions (id divisible by ``every``): best chunks, band, and the leading sentence of the best chunk as an extractive answer."""
-    top = bm25_topk(spark, d, every)
-    best = top.groupBy("question_id").agg(F.max("score").alias("score"), F.min_by("passage_id", "hit_rank").alias("chunk_id"), F.count(F.lit(1)).alias("n_candidates"))
-    c = distinct_chunks(spark, d).select("chunk_id", "doc_title", "source_file", F.get(X.sentences("text"), F.lit(0)).alias("sentence"))
-    q = table(spark, d, "escalations").where(F.col("id") % every == 0).select(F.col("id").alias("question_id"), "question")
-    conf = M.sigmoid((F.col("score") - 20) / 5)
-    return (
-        q.join(best, "question_id", "left").join(c, "chunk_id", "left").withColumn("confidence", F.coalesce(conf, F.lit(0.0))).withColumn("state", M.band("confidence"))
-        .select("question_id", "question", "state", F.round("confidence", 6).alias("confidence"), F.when(F.col("state") != "insufficient", F.concat("sentence", F.lit(" [1]"))).alias("answer"), "chunk_id", "doc_title", "source_file", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
-    )

@@ -36,12 +36,15 @@ def sidecars(spark: SparkSession, root: str) -> DataFrame:
 
 
 def front_matter(text: Column | str) -> Column:
-    """Map of the ``key: value`` lines between leading ``---`` lines; keys lower-cased, quotes dropped."""
+    """Map of the ``key: value`` lines between leading ``---`` lines; keys lower-cased, quotes dropped; of a repeated key the last counts."""
     c = F.col(text) if isinstance(text, str) else text
     head = F.regexp_extract(c, r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
     lines = F.filter(F.split(head, r"\r?\n"), lambda x: x.contains(":"))
     pair = lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.regexp_replace(F.trim(x.substr(F.instr(x, ":") + 1, F.length(x))), "^[\"']|[\"']$", "").alias("v"))
-    return F.map_from_entries(F.array_distinct(F.transform(lines, pair)))
+    pairs = F.transform(lines, pair)
+    # of a key that is repeated the last line counts
+    last = lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"])
+    return F.map_from_entries(F.filter(pairs, last))
 
 
 def markdown_blocks(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def test_slug_excerpt_breadcrumb(spark):
     assert one(spark, X.slug("t"), t="--A  b/Ç.pdf") == "a-b-pdf"
     assert one(spark, X.excerpt("t", 5), t=" a  bcdefg ") == "a bcd..."
     assert one(spark, X.breadcrumb("t", F.array(F.lit("T"), F.lit("a"), F.lit(""))), t="T") == "T > a"
-    assert one(spark, X.around("t", "MID", 2), t="abcmidxyz") == "…bcmidxy…"
+    assert one(spark, X.around("t", "MID", 2), t="abcmidxyz") == "...bcmidxy..."
     assert one(spark, X.around("t", "no"), t="abc") is None
 
 

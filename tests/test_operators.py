@@ -55,6 +55,23 @@ def test_history_store_touches_only_affected(spark):
     with pytest.raises(Exception):
         store.apply(spark.createDataFrame([(1,)], "wrong int"))
     assert store.manifest() == after
+    store.vacuum()
+    assert store.history().count() == 41 and store.raw().count() == 41
+
+
+def test_history_store_keeps_its_buckets_and_refuses_a_second_writer(spark):
+    root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    at = lambda k, h: history.observations(snaps(spark, [(month(k), month(k), d, h, "indexed") for d in range(9)]))
+    history.HistoryStore(spark, root, buckets=4).apply(at(0, A))
+    with pytest.raises(ValueError):
+        history.HistoryStore(spark, root, buckets=8).apply(at(1, B))
+    store, other = history.HistoryStore(spark, root), history.HistoryStore(spark, root)
+    held = other.manifest()
+    store.apply(at(1, B))
+    other.manifest = lambda: held  # a writer that began before the other was done
+    with pytest.raises(RuntimeError, match="another update"):
+        other.apply(at(2, A))
+    assert store.history().count() == 18 and store.history().where("valid_to is null").count() == 9
 
 
 def test_section_paths(spark):
@@ -156,3 +173,121 @@ def test_semantic_chunks(spark):
     assert [r[4:] for r in got(most=10, least=2) if r[0] == 2] == [(0, 10), (10, 10), (20, 7)]
     assert [r[3:] for r in got(most=50, least=45) if r[0] == 1] == [(6, 0, 49), (11, 0, 35)]  # the tail does not fit
     assert [r[1:] for r in got(most=100, least=43) if r[0] == 1] == [(0, 0, 11, 0, 84)]
+
+
+def test_ingest_over_many_files_and_after_a_failure(spark, tmp_path):
+    """Changed documents replace their old rows; a batch given twice lands the same rows."""
+    from quarryline.streaming import streams
+
+    at = tmp_path / "documents.parquet"
+    day = lambda n: T0 + dt.timedelta(days=n)
+    rows = [(i, "s", f"text {i}", "indexed", day(i)) for i in range(12)] + [(i, "t", f"new {i}", "indexed", day(50 + i)) for i in range(4)] + [(5, "s", "text 5", "indexed", day(70)), (6, "s", "text 6", "failed", day(70))]
+    for r in rows:
+        spark.createDataFrame([r], "doc_id long, source string, text string, status string, updated_at timestamp").coalesce(1).write.mode("append").parquet(str(at))
+    got = {r.doc_id: r.source for r in streams.stream_ingest(spark, str(tmp_path)).collect()}
+    assert got == {i: "t" if i < 4 else "s" for i in range(12)}
+    land = streams.land_documents(f"{tmp_path}/again")
+    batch = spark.createDataFrame([(1, "s", "h1", day(1)), (2, "s", "h2", day(1))], "doc_id long, source string, text_hash string, updated_at timestamp")
+    for epoch in (0, 0, 1, 1):
+        land(batch, epoch)
+    land(batch.where("doc_id = 1").withColumn("text_hash", F.lit("h3")), 2)
+    out = streams.landed(spark, f"{tmp_path}/again", streams.INGESTED)
+    assert out.count() == 3 and {r.doc_id: r.text_hash for r in streams.current_documents(out).collect()} == {1: "h3", 2: "h2"}
+
+
+def test_rate_windows_over_many_files(spark, tmp_path):
+    from quarryline.streaming import streams
+
+    at = tmp_path / "events.parquet"
+    for k in range(12):  # no order of time: the later files hold the earlier events
+        spark.createDataFrame([(1, T0 + dt.timedelta(minutes=30 * (12 - k) % 90))], "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(str(at))
+    got = streams.stream_rate_windows(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in got) == 12 and len(got) == 3 and all(r.over_limit == (r.n > 2) for r in got)
+    events = streams.table_stream(spark, str(tmp_path), "events", files=100)
+    q = streams.closed_windows(events).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("closed").count() <= 3
+
+
+def test_repeated_front_matter_keys(spark):
+    df = spark.createDataFrame([("---\ntitle: a\nTitle: b\nx: 1\n---\nbody",), ("no head",)], "t string")
+    assert [r.m for r in df.select(files.front_matter("t").alias("m")).collect()] == [{"title": "b", "x": "1"}, {}]
+
+
+def test_citations(spark):
+    """Out of range, unsupported, foreign and refused markers are dropped; a rejected one may come later; private without owner may be cited."""
+    from quarryline.operators import citations as C
+
+    text = "Customer due diligence must be refreshed every 14 months by the onboarding desk."
+    answer = "Bananas grow on purple mountains daily [1]. Due diligence is refreshed every 14 months [1][2]. See [3]. There is insufficient evidence about sanctions [4]. Refresh [5]\nnothing [9]"
+    answers = spark.createDataFrame([(7, answer), (8, None), (9, "no marker")], "q int, answer string")
+    src = spark.createDataFrame([(7, 1, text, "t1", "tenant", None), (7, 2, text, "t2", "public", None), (7, 3, text, "t1", "private", None), (7, 4, text, "t1", "tenant", None), (7, 5, text, None, "private", "other")], "q int, marker int, text string, tenant string, vis string, owner string")
+    m = C.cited_passages(answers, "answer").join(src, ["q", "marker"])
+    ok, score = C.support(F.col("passage"), F.col("text"))
+    see = C.may_cite(F.col("tenant"), F.col("vis"), F.col("owner"), F.lit("t1"), F.lit("me"))
+    got = {r.marker: r.piece for r in C.first_accepted(m, ["q"], ok & see).collect()}
+    assert got == {1: 1, 3: 2}
+    assert {r.marker for r in m.where(ok).select("marker").collect()} == {1, 2, 3, 5}
+
+
+def test_audit_chain_faults(spark):
+    from quarryline.operators import audit
+
+    key, rows = b"k", spark.createDataFrame([(i, f"v{i}", None if i == 2 else "x") for i in range(5)], "i int, v string, w string").withColumn("payload", audit.canonical("v", "w"))
+    assert rows.where("i = 2").first().payload == '{"v":"v2","w":null}'
+    chain = audit.chained(rows, "i", "payload", key).select("sequence", "payload", "prev_hash", "record_hash").cache()
+    state = lambda df: tuple(audit.verdict(audit.verified(df, "payload", key)).first())
+    assert state(chain) == (5, True, None, None) and chain.where("prev_hash is null").count() == 1
+    at3 = F.col("sequence") == 3
+    assert state(chain.withColumn("payload", F.when(at3, "x").otherwise(F.col("payload")))) == (5, False, 3, "hash")
+    assert state(chain.withColumn("record_hash", F.when(at3, "x").otherwise(F.col("record_hash")))) == (5, False, 3, "hash")
+    broken = chain.withColumn("prev_hash", F.when(at3, "other").otherwise(F.col("prev_hash")))
+    assert state(broken.withColumn("record_hash", F.when(at3, audit.link(F.col("prev_hash"), F.col("payload"), key)).otherwise(F.col("record_hash")))) == (5, False, 3, "link")
+    assert state(chain.limit(0)) == (0, True, None, None)
+
+
+def test_threshold_choice(spark):
+    from quarryline.operators import aggregates
+
+    choose = lambda rows, floors: next(r.threshold for r in aggregates.threshold_choice(spark.createDataFrame(rows, "p double, bucket string"), [0.3, 0.5, 0.7], 0.15, (0.4, 0.3, 0.3), floors).collect() if r.chosen)
+    rows = [(0.1, "out_of_corpus"), (0.4, "underspecified"), (0.6, "answer"), (0.9, "answer")]
+    assert choose(rows, (0.9, 0.9)) == 0.5 and choose(rows, (2.0, 0.9)) == 0.5  # no threshold meets the floors: the best of all
+    assert choose([(0.9, "answer")], (0.9, 0.9)) == 0.3  # the lowest of equals
+
+
+def test_running_blocks_and_pieces(spark):
+    rows = [(1, 5 * p + k, t, p, None) for p in range(1, 6) for k, t in enumerate([f"Policy  manual {p}", "body text " * p, f"Page {p} of 5"])] + [(2, 0, "Policy manual", 1, None), (2, 1, " ", 1, None), (2, 2, "a b c", None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, block_idx int, text string, page int, page_end int")
+    got = {(r.doc_id, r.block_idx): r.reason for r in layout.running_blocks(df).collect()}
+    assert got == {(1, 5 * p + k): "running" for p in range(1, 6) for k in (0, 2)}
+    p = layout.block_pieces(df.where("doc_id = 2"), 2, files.NAMESPACE, "{}").orderBy("chunk_index").collect()
+    assert [(r.chunk_index, r.block_idx, r.tokens) for r in p] == [(0, 0, ["Policy", "manual"]), (1, 2, ["a", "b"]), (2, 2, ["c"])] and len({r.chunk_id for r in p}) == 3
+
+
+def test_search_filters_and_store_changes(spark):
+    df = spark.createDataFrame([(1, "a.md", "guide", "QM"), (2, "b.md", "policy", None)], "doc_id long, source_file string, doc_type string, jurisdiction string")
+    ids = lambda c: [r.doc_id for r in df.where(c).collect()]
+    assert ids(search.where()) == [1, 2] and ids(search.where(doc_type="guide", source_file="a.md")) == [1] and ids(search.where(document_scope=["b.md"], doc_id=2)) == [2] and ids(search.where(jurisdiction="QM", doc_type="policy")) == []
+    fresh = df.where("doc_id = 2").withColumn("doc_type", F.lit("new"))
+    assert sorted((r.doc_id, r.doc_type) for r in search.upserted(df, fresh, "doc_id").collect()) == [(1, "guide"), (2, "new")]
+    q = spark.createDataFrame([(1, "alpha beta", "t1"), (2, "alpha beta", None)], "question_id long, text string, tenant string")
+    p = spark.createDataFrame([("a", "alpha beta gamma", "t1", "tenant", None), ("b", "alpha", "t2", "public", None), ("c", "alpha beta", None, "public", None), ("d", "alpha beta", "t1", "private", "u"), ("e", None, "t1", None, None)], "passage_id string, text string, tenant_id string, visibility string, owner_id string")
+    found = search.hybrid(q, p, 5).orderBy("question_id", "fused_rank").collect()
+    assert [(r.question_id, r.passage_id, r.n_lists) for r in found] == [(1, "c", 2), (1, "a", 2), (2, "c", 2)]
+
+
+def test_cached_answers_match_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, T0 + dt.timedelta(hours=i), " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(1, 6)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, at timestamp, k string")
+    got = {r.id: (r.tier, r.answered_by) for r in search.cached_answers(df, df, 0.7, 50 * 3_600_000_000).collect()}
+    for i, at, k in rows:
+        a, best = set(k.split()), None
+        for j, t, o in rows[:i]:
+            b = set(o.split())
+            s = len(a & b) / (len(a) * len(b)) ** 0.5
+            if at - t <= dt.timedelta(hours=50) and (s >= 0.7 - 1e-12 or k == o):
+                best = min(filter(None, (best, (k != o, -round(s, 6), t, j))))
+        assert got[i] == (("miss", None) if best is None else ("semantic" if best[0] else "exact", best[3])), i
