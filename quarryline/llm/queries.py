@@ -26,6 +26,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- 2 personal data
+#: Key of the test tables; real data need one of their own in ``spark.quarryline.pseudonym.key``.
+TEST_KEY = "key of the test tables"
+
+
 def _free_texts(spark: SparkSession, d: str) -> DataFrame:
     return pii.free_texts(table(spark, d, "chunks"), table(spark, d, "feedback"), table(spark, d, "escalations"))
 
@@ -37,7 +41,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     """All texts, each once per key, with typed placeholders for the mentions and the rest unchanged."""
-    return pii.redact(_free_texts(spark, d), table(spark, d, "known_names")).distinct()
+    key = spark.conf.get("spark.quarryline.pseudonym.key", TEST_KEY)
+    return pii.redact(_free_texts(spark, d), table(spark, d, "known_names"), key.encode()).distinct()
 
 
 def p2_contains_pii(spark: SparkSession, d: str) -> DataFrame:

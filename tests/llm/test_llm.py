@@ -107,13 +107,73 @@ def test_pseudonyms():
     assert pii.pseudonym("email", "A@b.test", b"k") == pii.pseudonym("email", "a (at) b (dot) test", b"k")
 
 
+def test_numbers_keep_their_checks():
+    """Valid numbers become valid ones, invalid ones invalid ones, one for one, whatever the notation."""
+    key = b"k"
+    new = lambda v: pii.pseudonym("id_number", v, key)
+    spanish = [f"{n:08}{pii._SPANISH[n % 23]}" for n in range(5_000_000, 5_000_400)]
+    image = {new(v) for v in spanish}
+    assert len(image) == 400 and all(pii._SPANISH[int(v[:8]) % 23] == v[8] for v in image) and not image & set(spanish)
+    assert new("00652135-M") != "00652135-M" and new("00652135M") == new("00652135-M").replace("-", "")
+    bad = new("12345678A")
+    assert pii._SPANISH[int(bad[:8]) % 23] != bad[8]
+    foreign = "X1234567" + pii._SPANISH[1234567 % 23]
+    out = new(foreign)
+    assert re.fullmatch(r"[XYZ]\d{7}[A-Z]", out) and pii._SPANISH[("XYZ".index(out[0]) * 10**7 + int(out[1:8])) % 23] == out[8]
+    belgian = f"85.07.30-033.{97 - 850730033 % 97:02}"
+    out = re.sub(r"\D", "", new(belgian))
+    assert 97 - int(out[:9]) % 97 == int(out[9:]) and dt.datetime.strptime(out[:6], "%y%m%d")
+    tax = "8609574271"
+    out = new(tax + str(pii._tax_check(tax)))
+    assert len(out) == 11 and int(out[10]) == pii._tax_check(out[:10]) and out[0] != "0"
+    nir = "2 55 08 14 168 025 "
+    out = re.sub(r"\D", "", new(nir + f"{pii._nir_key(re.sub(' ', '', nir)):02}"))
+    assert pii._nir_key(out[:13]) == int(out[13:]) and 1 <= int(out[3:5]) <= 12
+    assert pii._ssn_ok(int(new("123-45-6789").replace("-", ""))) and not pii._ssn_ok(int(new("943-37-6143").replace("-", "")))
+    nino = new("QQ 24 69 17 C")
+    assert re.fullmatch(r"[A-Z]{2} \d\d \d\d \d\d [A-D]", nino) and nino[:2] != "QQ" and new("qq246917c") == nino.replace(" ", "").lower()
+    assert re.fullmatch(r"[A-Z]\d{8}", new("X40420525"))
+    one = {re.sub(r"\D", "", pii.pseudonym("phone", v, key))[-10:] for v in ("+1 526 555 0165", "526-555-0165", "(526) 555-0165", "1 526 555 0165", "001-526-555-0165")}
+    assert len(one) == 1
+    same = {re.sub(r"\D", "", pii.pseudonym("phone", v, key))[-9:] for v in ("+44 20 7946 095", "020 7946 095", "0044 20 7946 095", "(+44) 20 7946 095")}
+    assert len(same) == 1
+    for n in (11, 13, 15):
+        x = 10**n // 7
+        assert pii.unpermute(pii.permute(x, 10**n, key, "x"), 10**n, key, "x") == x
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("SSN 123-45-6789 and 078-05-1120, not 000-12-3456", [("id_number", "123-45-6789"), ("id_number", "078-05-1120")]),
+        ("call +1-202-555-0143 202.555.0144 or +49 30 2312 5459", [("phone", "+1-202-555-0143"), ("phone", "202.555.0144"), ("phone", "+49 30 2312 5459")]),
+        ("pay to GB82 WEST 1234 5698 7654 32 now", []),
+        ("NIE X1234567L, tax 86095742719, bad 86095742710", [("id_number", "X1234567L"), ("id_number", "86095742719")]),
+        ("Dr Johnson, Mr. Ana Maria Lopez and Quinette Garcia Lopez; Dr Johnson & Sons; Quinette Will They", [("name", "Johnson"), ("name", "Ana Maria Lopez"), ("name", "Quinette Garcia Lopez")]),
+    ],
+)
+def test_mentions_beyond_the_tables(text, found):
+    assert [(k, text[a:b]) for k, a, b in pii.Finder(NAMES)(text)] == found
+
+
+def test_long_lists_of_names(spark):
+    """Beyond the names that go to every task, a text gets the listed names among its words."""
+    names = spark.createDataFrame(NAMES + [("Zzyzx", "family"), ("Aabab", "given"), ("Qurz", "family")], "name string, name_kind string")
+    t = spark.createDataFrame([("chunks", "1", "Aabab Zzyzx met Dr. ZZYZX and Orla Qurz", 0), ("chunks", "2", "nobody", 0)], "tbl string, row_key string, text string, listed int")
+    all_ = sorted(map(tuple, pii.find_mentions(t, names).collect()))
+    assert all_ == sorted(map(tuple, pii.find_mentions(t, names, most=5).collect())) and [r[3] for r in all_] == [0, 20, 30]
+    assert pii.redact(t, names, b"k", most=5).count() == 2
+    with pytest.raises(ValueError):
+        pii.redact(t, names, b"")
+
+
 def test_pii_tables(spark):
     names = spark.createDataFrame(NAMES + [(None, "given")], "name string, name_kind string")
     text = "Tamra Wexley, call +1 526 555 0165. " + prose(30_000)
     t = spark.createDataFrame([("chunks", "1", text, 0), ("chunks", "1", text, 0), ("chunks", "2", None, 0), ("chunks", None, text, 0), ("feedback", "1", "", 0)], "tbl string, row_key string, text string, start_pos int")
     got = sorted((r.tbl, r.row_key, r.pii_kind, r.start_pos) for r in pii.find_mentions(t, names).collect())
     assert got == [("chunks", "1", "name", 0), ("chunks", "1", "phone", 19)]
-    red = pii.redact(t, names).where("n_mentions > 0").distinct().collect()
+    red = pii.redact(t, names, b"k").where("n_mentions > 0").distinct().collect()
     assert len(red) == 1 and red[0].text.startswith("[NAME:") and "[PHONE:+1 " in red[0].text and red[0].text.endswith(text[-500:])
     assert pii.find_mentions(t.limit(0), names.limit(0)).count() == 0
 
