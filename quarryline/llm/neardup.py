@@ -4,8 +4,9 @@ Exact copies (the same word sequence) are folded into one representative first,
 text that a third of all rows repeat costs one signature. Candidates come from
 bands; buckets above ``bucket`` members are cut into blocks whose pairs are separate
 groups, so no task holds an unbounded bucket and no pair is lost. Candidate signatures are
-compared in batches and dropped once the posterior chance of reaching the threshold falls below
-``miss``; survivors are verified on their full texts.
+compared in batches, first one bit each of 64 values, then whole values, and dropped once the posterior chance of reaching the threshold falls below
+a batch's part of ``miss``: the parts of all batches add up to it, so a pair at the threshold falls with that chance at most.
+Survivors are verified on their full texts.
 
 Defined results: null ids or texts and texts with fewer than ``min_words`` words take no part; rows repeated under
 one id count once (different texts under one id each count); an empty input gives an empty result of
@@ -22,35 +23,32 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quarryline.llm import sketch as S
 from quarryline.session import materialize
 
 
+def _below(trials: int, p: float, most: int) -> float:
+    """P(Binomial(trials, p) <= most)."""
+    return sum(comb(trials, m) * p**m * (1 - p) ** (trials - m) for m in range(most + 1))
+
+
 def min_matches(threshold: float, count: int, step: int, miss: float) -> list[tuple[int, int]]:
     """(values compared, fewest equal values to go on) after each batch of ``step``.
 
     With a uniform prior the posterior of the similarity after m of n equal values is
-    Beta(m+1, n-m+1); P(similarity >= t) equals P(Binomial(n+1, t) <= m).
+    Beta(m+1, n-m+1); P(similarity >= t) equals P(Binomial(n+1, t) <= m). ``miss`` is what one batch may lose.
     """
-    out = []
-    for n in range(step, count + 1, step):
-        total, m = 0.0, -1
-        while total < miss:
-            m += 1
-            total += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
-        out.append((n, m))
-    return out
+    return [(n, next(m for m in range(n + 1) if _below(n + 1, threshold, m) >= miss)) for n in range(step, count + 1, step)]
 
 
 def most_differing(threshold: float, count: int, miss: float) -> int:
-    """Of ``count`` one-bit values, the most that may differ; beyond it a pair at ``threshold`` falls with chance ``miss`` at most."""
-    p, tail, d = (1 - threshold) / 2, 1.0, -1
-    while tail > miss:
-        d += 1
-        tail -= comb(count, d) * p**d * (1 - p) ** (count - d)
-    return d
+    """Of ``count`` one-bit values, the most that may differ before the posterior chance of reaching the threshold falls below ``miss``.
+
+    At similarity s a bit agrees with chance p = (1 + s) / 2; with a uniform prior on s the posterior of p is Beta(m+1, n-m+1) cut to 1/2..1.
+    """
+    up = lambda m: _below(count + 1, (1 + threshold) / 2, m) / _below(count + 1, 0.5, m)
+    return count - next(m for m in range(count + 1) if up(m) >= miss)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, perms: int, min_words: int, remember: int = 200_000) -> DataFrame:
@@ -106,14 +104,14 @@ def banded(sig: DataFrame, rows: int) -> DataFrame:
                 fps = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(fps)], names=["key", "v"])
 
-    # partitioned by key alone, so that removing repeats and counting buckets need no further shuffle
+    # partitioned by key alone, so that removing repeats, counting buckets and joining their sizes need no further shuffle
     return sig.where("sig is not null").select("fp", "sig").mapInArrow(run, "key long, v long").repartition("key").distinct()
 
 
 def bucket_pairs(rows: DataFrame, bucket: int) -> DataFrame:
     """Distinct pairs (a < b) of ``v`` that share a ``key``; rows must be distinct (key, v)."""
-    by = W.partitionBy("key")
-    sized = materialize(rows.withColumn("n", F.count(F.lit(1)).over(by)).where("n > 1"), "buckets")  # most buckets hold one
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = materialize(rows.join(counts, "key"), "buckets")  # most buckets hold one
     small = sized.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("v").alias("vs"))
     pairs_in = lambda xs, ys: F.explode(F.flatten(F.transform(xs, lambda x: F.transform(F.filter(ys, lambda y: y != x), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))))))
     one = small.select(F.explode(F.flatten(F.transform("vs", lambda x: F.transform(F.filter("vs", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
@@ -188,19 +186,20 @@ def similar_pairs(
     sig = materialize(signatures(df, id_col, text_col, width, perms, min_words), "signatures")
     reps = sig.groupBy("fp").agg(F.first("sig", ignorenulls=True).alias("sig"), F.min("id").alias("rep"))
     members = sig.select("id", "fp").distinct().join(sig.groupBy("fp").agg(F.min("id").alias("rep")), "fp").select("id", "rep")
+    part = miss / (perms // step + 1)
     # the first batch is one bit each of 64 values: 8 bytes a text settle most chance candidates before signatures travel
     ones = sig.where("bits is not null").groupBy("fp").agg(F.first("bits").alias("bits"))
     candidates = (
         bucket_pairs(banded(sig, rows), bucket)
         .join(ones.select(F.col("fp").alias("a"), F.col("bits").alias("x")), "a")
         .join(ones.select(F.col("fp").alias("b"), F.col("bits").alias("y")), "b")
-        .where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_differing(threshold, min(64, perms), miss))
+        .where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_differing(threshold, min(64, perms), part))
         .select("a", "b")
     )
     pruned = (
         candidates.join(reps.select(F.col("fp").alias("a"), F.col("sig").alias("sig_a"), F.col("rep").alias("rep_a")), "a")
         .join(reps.select(F.col("fp").alias("b"), F.col("sig").alias("sig_b"), F.col("rep").alias("rep_b")), "b")
-        .where(bayes_keep(F.col("sig_a"), F.col("sig_b"), threshold, perms, step, miss))
+        .where(bayes_keep(F.col("sig_a"), F.col("sig_b"), threshold, perms, step, part))
         .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     )
     survivors = materialize(pruned, "survivors")
@@ -210,11 +209,21 @@ def similar_pairs(
     return members, links
 
 
-def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All linked pairs of different ids (a < b): copies of one text and the members of linked representatives."""
-    left, right = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = links.select("a", "b").join(left, "a").join(right, "b")
-    copied = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    within = copied.join(left, "a").join(right, "b").where("x < y")
+def expand_pairs(members: DataFrame, links: DataFrame, block: int = 1000) -> DataFrame:
+    """All linked pairs of different ids (a < b): copies of one text and the members of linked representatives.
+
+    Representatives with many copies are cut into blocks of about ``block`` ids, and pairs of blocks are joined, so no representative is one task.
+    """
+    counts = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / block).cast("int")
+    blocked = members.join(counts, "rep").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    blocked = materialize(blocked.select("id", "rep", "part", "parts"), "members")
+    grids = counts.select("rep", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    side = lambda rep, part, name: blocked.select(F.col("rep").alias(rep), F.col("part").alias(part), F.col("id").alias(name))
+    each = lambda rep, part: grids.select(F.col("rep").alias(rep), F.col("part").alias(part))
+    across = links.select("a", "b").join(each("a", "p"), "a").join(each("b", "q"), "b").join(side("a", "p", "x"), ["a", "p"]).join(side("b", "q", "y"), ["b", "q"])
+    many = counts.where("n > 1").select("rep", parts.alias("parts"))
+    pairs = many.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "parts").select("a", "b", "p", F.explode(F.sequence(F.col("p"), F.col("parts") - 1)).alias("q"))
+    within = pairs.join(side("a", "p", "x"), ["a", "p"]).join(side("b", "q", "y"), ["b", "q"]).where("p <> q or x < y")
     both = across.select("x", "y").unionByName(within.select("x", "y"))
     return both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

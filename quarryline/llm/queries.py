@@ -127,6 +127,14 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack(_doc_tokens(spark, d), "doc_id", "n_tokens", CAPACITY), CAPACITY)
 
 
+def p6_audit(spark: SparkSession, d: str) -> DataFrame:
+    """One row on the containers: documents placed, pieces placed twice, containers above capacity, documents divided although they fit."""
+    p = materialize(packing.pack(_doc_tokens(spark, d), "doc_id", "n_tokens", CAPACITY), "packed")
+    docs = p.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("piece").alias("k"), F.sum("size").alias("tokens"))
+    bins = packing.fill(p, CAPACITY).agg(F.count_if(F.col("n_tokens") > CAPACITY).alias("n_overfull"))
+    return docs.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("n") > F.col("k")).alias("n_twice"), F.count_if((F.col("k") > 1) & (F.col("tokens") <= CAPACITY)).alias("n_divided_small")).join(bins)
+
+
 # ---------------------------------------------------------------- 7 mixture
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return mixing.mix(_doc_tokens(spark, d), table(spark, d, "mix_targets"))
@@ -155,6 +163,18 @@ def p7_lags(spark: SparkSession, d: str) -> DataFrame:
     return mixing.lags(_mixture(spark, d)[2])
 
 
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: texts held, whether repeats keep their cap, whether the share is the target's to 1 % or all is used, and whether the sequence stays within a block."""
+    texts, report, order = _mixture(spark, d)
+    held = texts.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"))
+    lag = mixing.lags(order).select("source", ((F.col("most_ahead") < 1) & (F.col("most_behind") < 1) & (F.col("n_outside") == 0)).alias("steady"))
+    r = report.join(held, "source", "left").join(lag, "source", "left")
+    all_used = F.col("used_tokens") >= F.col("held_tokens") * F.col("max_repeats")
+    # what sources without enough text cannot give goes to the others by their shares, so these may be above their targets
+    enough = all_used | (F.col("actual_share") >= F.col("target_share") * 0.99)
+    return r.select("source", F.round("target_share", 6).alias("target_share"), "max_repeats", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"), enough.alias("share_or_all_used"), F.coalesce("steady", F.lit(True)).alias("within_a_block"))
+
+
 # ---------------------------------------------------------------- 8 texts cut off
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text does not reach its original end."""
@@ -173,8 +193,29 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_contains_pii": p2_contains_pii, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_sequence": p7_sequence, "p7_lags": p7_lags, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_redacted": p2_redacted, "p2_contains_pii": p2_contains_pii, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_sequence": p7_sequence, "p7_lags": p7_lags, "p7_audit": p7_audit, "p6_audit": p6_audit, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sources": p8_sources}
+
+
+#: Brute force, or what must hold whatever the tokenizer counts.
+SQL = {
+    "p1_found": r"""with c as (select chunk_id, text from chunks where chunk_id is not null qualify row_number() over (partition by chunk_id order by ingested_at desc nulls last) = 1),
+i as (select 'block' as item_kind, doc_id || '#' || block_idx as item_key, text from blocks union all select 'chunk', chunk_id, text from c)
+select item_kind, item_key from i where len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]')) > 400""",
+    "p4_found": """with v as (select vec_id, model, list_transform(vec, lambda x: x::double) as vec from emb where len(vec) = case model when 'hash-64' then 64 when 'mini-96' then 96 end and list_sum(list_transform(vec, lambda x: abs(x))) > 0),
+s as (select a.model, a.vec_id as q, b.vec_id as o, list_cosine_similarity(a.vec, b.vec) as score from v a join v b on a.model = b.model and a.vec_id <> b.vec_id),
+t as (select q, o, score from s qualify row_number() over (partition by model, q order by score desc, o) <= 5)
+select distinct least(q, o) as vec_id_a, greatest(q, o) as vec_id_b from t where score >= 0.9""",
+    "p5_found": r"""with t as (select distinct chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as ws from chunks where chunk_id is not null and text is not null),
+n as (select row_number() over () as k, chunk_id, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as g from t where len(ws) >= 30),
+e as (select k, chunk_id, len(g) as m, unnest(g) as s from n),
+p as (select a.k, b.k as k2, any_value(a.chunk_id) as x, any_value(b.chunk_id) as y, any_value(a.m) as m, any_value(b.m) as m2, count(*) as common from e a join e b on a.s = b.s and a.chunk_id < b.chunk_id group by 1, 2)
+select distinct x as chunk_id_a, y as chunk_id_b from p where common >= 0.6 * (m + m2 - common)""",
+    "p6_audit": """select count(*) as n_documents, 0::bigint as n_twice, 0::bigint as n_overfull, 0::bigint as n_divided_small from documents where text <> ''""",
+    "p7_audit": """with t as (select source, sum(greatest(coalesce(target_share, 0), 0)) as target_share, max(coalesce(max_repeats, 1)) as max_repeats from mix_targets where source is not null group by 1),
+d as (select source, count(*) as n from documents where text <> '' group by 1)
+select t.source, round(t.target_share, 6) as target_share, t.max_repeats, coalesce(d.n, 0) as n_texts, true as within_repeats, true as share_or_all_used, true as within_a_block from t left join d using (source)""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -78,7 +78,7 @@ def cuts(text: str, limit: int, overlap: int, least: int) -> tuple[list[int], li
         mark = int(marks[k]) if k < len(marks) and marks[k] <= hi else None
         here = strength[lo : hi + 1]
         at = hi if mark is None else mark
-        for kinds in (3, 2, 1):
+        for kinds in (4, 3, 2, 1):
             found = np.flatnonzero(here >= kinds)
             if len(found):
                 at = lo + int(found[-1] if mark is None else found[np.abs(found + lo - mark).argmin()])
@@ -86,8 +86,11 @@ def cuts(text: str, limit: int, overlap: int, least: int) -> tuple[list[int], li
         out.append(at)
 
 
-def split_texts(df: DataFrame, key_cols: list[str], text_col: str, *, limit: int = 400, overlap: int = 40, least: int = 120, only_oversized: bool = True) -> DataFrame:
-    """The key columns (as strings) and piece_index, n_pieces, char_start, char_end, overlap_tokens, token_count, text of every piece."""
+def split_texts(df: DataFrame, key_cols: list[str], text_col: str, *, limit: int = 400, overlap: int = 40, least: int = 120, only_oversized: bool = True, mark_others: bool = False) -> DataFrame:
+    """The key columns (as strings) and piece_index, n_pieces, char_start, char_end, overlap_tokens, token_count, text of every piece.
+
+    With ``mark_others`` the texts within the limit (and null ones) give a row with a piece_index of -1 and no text.
+    """
     if not 0 <= overlap < limit - least:
         raise ValueError("overlap and least piece must fit into the limit")
 
@@ -97,7 +100,9 @@ def split_texts(df: DataFrame, key_cols: list[str], text_col: str, *, limit: int
             keys = list(zip(*(c.to_pylist() for c in batch.columns[:-1])))
             for key, text in zip(keys, batch.column(batch.num_columns - 1).to_pylist()):
                 # a token is one character at least
-                if only_oversized and (len(text) <= limit or len(TOKEN.findall(text)) <= limit):
+                if text is None or (only_oversized and (len(text) <= limit or len(TOKEN.findall(text)) <= limit)):
+                    if mark_others:
+                        rows.append((*key, -1, 0, None, None, None, None, None))
                     continue
                 at, spans = cuts(text, limit, overlap, least)
                 if not spans:
@@ -113,7 +118,7 @@ def split_texts(df: DataFrame, key_cols: list[str], text_col: str, *, limit: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[*key_cols, *NAMES])
 
     NAMES = ["piece_index", "n_pieces", "char_start", "char_end", "overlap_tokens", "token_count", "text"]
-    src = df.where(F.col(text_col).isNotNull()).select(*(F.col(k).cast("string").alias(k) for k in key_cols), F.col(text_col).cast("string").alias("text"))
+    src = (df if mark_others else df.where(F.col(text_col).isNotNull())).select(*(F.col(k).cast("string").alias(k) for k in key_cols), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"`{k}` string" for k in key_cols) + ", piece_index int, n_pieces int, char_start int, char_end int, overlap_tokens int, token_count int, text string"
     return src.mapInArrow(run, schema)
 
@@ -129,7 +134,7 @@ def block_paths(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
 def split_blocks_and_chunks(blocks: DataFrame, chunks: DataFrame, **limits: int) -> DataFrame:
     """Pieces of every oversized block and distinct chunk with their section_path.
 
-    A chunk_id delivered several times counts once: its text as last ingested (the largest text of a tie).
+    A chunk_id delivered several times counts once: its text as last ingested (of a tie one by digest), whatever its size.
     """
     key = F.concat_ws("#", F.col("doc_id").cast("string"), F.col("block_idx").cast("string"))
     b = split_texts(blocks.where("doc_id is not null and block_idx is not null"), ["doc_id", "block_idx"], "text", **limits).withColumns({"doc_id": F.col("doc_id").cast("long"), "block_idx": F.col("block_idx").cast("int")})
@@ -139,9 +144,10 @@ def split_blocks_and_chunks(blocks: DataFrame, chunks: DataFrame, **limits: int)
     from pyspark.sql import Window as W
 
     named = chunks.where("chunk_id is not null").select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("seen"), F.to_json(F.struct("section_path")).alias("path"), "text")
-    c = split_texts(named.withColumn("print", F.xxhash64("text")), ["chunk_id", "doc_id", "seen", "path", "print"], "text", **limits)
-    last = F.max(F.struct("seen", "print", "doc_id", "path")).over(W.partitionBy("chunk_id"))
-    c = c.withColumn("last", last).where(F.struct("seen", "print", "doc_id", "path").eqNullSafe(F.col("last"))).dropDuplicates(["chunk_id", "piece_index"])
+    # deliveries within the limit take part in what counts as last, so that an older, longer text does not stay
+    c = split_texts(named.withColumn("print", F.xxhash64("text")), ["chunk_id", "doc_id", "seen", "path", "print"], "text", mark_others=True, **limits)
+    mine = F.struct("seen", "print", "doc_id", "path")
+    c = c.withColumn("last", F.max(mine).over(W.partitionBy("chunk_id"))).where(mine.eqNullSafe(F.col("last")) & (F.col("piece_index") >= 0)).dropDuplicates(["chunk_id", "piece_index"])
     c = c.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_key"), F.col("doc_id").cast("long").alias("doc_id"), *_OUT, F.from_json("path", "section_path array<string>")["section_path"].alias("section_path"))
     return b.unionByName(c)
 

@@ -30,13 +30,17 @@ def stretches(text: str, least: int = STRETCH) -> Iterator[str]:
 
 
 def count_tokens(df: DataFrame, text_col: str, keep: dict[str, str], vocabulary: str = DEFAULT_VOCABULARY, pattern: str = DEFAULT_PATTERN) -> DataFrame:
-    """The columns ``keep`` (name -> type, taken as they are) and ``n_tokens`` of the whole text; rows without text are left out."""
+    """The columns ``keep`` (name -> type, taken as they are) and ``n_tokens`` of the whole text; rows without text are left out.
+
+    The vocabulary (a file of about a megabyte) is read on the driver and sent to the executors, which need no copy of their own.
+    """
+    with open(vocabulary, "rb") as f:
+        words = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, words.value.splitlines())}
         enc = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in parts:
             counts = [sum(len(enc.encode_ordinary(p)) for p in (stretches(text) if len(text) >= LONG else [text])) for text in batch.column(0).to_pylist()]

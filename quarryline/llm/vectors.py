@@ -1,7 +1,8 @@
 """k most similar vectors by an inverted file with product-quantised residuals.
 
 Coarse centroids and residual codebooks are fitted on a bounded hash sample (``sample`` rows a
-model at most); every usable vector is indexed. A vector is posted under its ``probes`` nearest
+model at most); every usable vector is indexed. The lists grow with the vectors: above ``most_lists`` of them a list is a coarse centroid and a fine one, fitted on what the coarse
+ones leave over, so that ``most_lists`` coarse and as many fine centroids address a list of about ``list_rows`` vectors for up to ``most_lists`` squared lists. A vector is posted under its ``probes`` nearest
 centroids with its code; the vectors at home under a centroid are the queries of that cell. A cell scores its postings by
 asymmetric distance tables (one table per query and subspace; the inner product of query and home
 centroid plus the table entries of the residual code), keeps the ``rerank`` best per query and reranks these by the exact
@@ -52,45 +53,72 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, unit: bool) -> np.nda
     return c
 
 
+def _best(s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest of each row, greatest first."""
+    k = min(k, s.shape[1])
+    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 class Quantizer:
-    """Coarse centroids (lists x dim) and residual codebooks (parts x 256 x width) of one model."""
+    """Coarse and fine centroids (a list is one of each) and residual codebooks (parts x 256 x width) of one model."""
 
-    def __init__(self, x: np.ndarray, lists: int, width: int, rounds: int, seed: int) -> None:
-        self.centroids = _kmeans(x, min(lists, len(x)), rounds, seed, unit=True)
-        residual = x - self.centroids[(x @ self.centroids.T).argmax(1)]
+    def __init__(self, x: np.ndarray, lists: int, most_lists: int, width: int, rounds: int, seed: int) -> None:
+        self.coarse = _kmeans(x, min(lists, most_lists, len(x)), rounds, seed, unit=True)
+        left = x - self.coarse[(x @ self.coarse.T).argmax(1)]
+        fine = min(-(-lists // len(self.coarse)), most_lists, len(x)) if lists > most_lists else 1
+        self.fine = _kmeans(left, fine, rounds, seed + 1, unit=False) if fine > 1 else np.zeros((1, x.shape[1]), np.float32)
+        self.lists = len(self.coarse) * len(self.fine)
+        residual = x - self.centroid(self.near(x, 1)[:, 0])
         self.cuts = list(range(0, x.shape[1], width)) + [x.shape[1]]
         self.books = [_kmeans(np.ascontiguousarray(residual[:, a:b]), min(256, len(x)), rounds, seed + a, unit=False) for a, b in zip(self.cuts, self.cuts[1:])]
 
+    def centroid(self, lists: np.ndarray) -> np.ndarray:
+        c = self.coarse[lists // len(self.fine)]
+        return c if len(self.fine) == 1 else c + self.fine[lists % len(self.fine)]
+
     def near(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` nearest lists of each row, nearest first."""
-        s = x @ self.centroids.T
-        probes = min(probes, s.shape[1])
-        top = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+        if len(self.fine) == 1:
+            return _best(x @ self.coarse.T, probes)
+        out, many = [], len(self.fine)
+        for part in np.array_split(x, max(1, len(x) * many // 500_000)):
+            c = _best(part @ self.coarse.T, probes)  # rows x coarse
+            left = part[:, None, :] - self.coarse[c]
+            # of equal rows the distance is that of left to the fine centroid, whatever the coarse one
+            score = 2 * left @ self.fine.T - (self.fine * self.fine).sum(1) - (left * left).sum(2, keepdims=True)
+            top = _best(score.reshape(len(part), -1), probes)
+            out.append(np.take_along_axis(c, top // many, 1) * many + top % many)
+        return np.concatenate(out)
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
-        r = x - self.centroids[home]
+        r = x - self.centroid(home)
         return np.stack([(r[:, a:b] @ k.T - 0.5 * (k * k).sum(1)).argmax(1).astype(np.uint8) for a, b, k in zip(self.cuts, self.cuts[1:], self.books)], axis=1)
 
     def scores(self, q: np.ndarray, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric inner products, postings x queries."""
         homes, at = np.unique(home, return_inverse=True)
-        out = (self.centroids[homes] @ q.T)[at]
+        out = (self.centroid(homes) @ q.T)[at]
         for m, (a, b, k) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
             out += (k @ q[:, a:b].T)[codes[:, m]]
         return out
 
 
-def _grid(z: Quantizer, n: int, sample: np.ndarray, block: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Query and posting blocks of each list, from the sample's shares."""
+def _grid(z: Quantizer, n: int, sample: np.ndarray, block: int, probes: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Query and posting blocks of each list, from the sample's shares; lists that the sample hardly meets are whole."""
     lists = z.near(sample, probes)
     scale = n / len(sample)
-    count = lambda a: np.bincount(a, minlength=len(z.centroids)) * scale
-    return tuple(np.clip(np.ceil(count(a) / block), 1, 4095).astype(np.int64) for a in (lists[:, 0], lists.ravel()))
+
+    def blocks(a: np.ndarray) -> np.ndarray:
+        count = np.bincount(a, minlength=z.lists)
+        few = (count < least) & (len(z.fine) > 1)
+        return np.clip(np.ceil(np.where(few, 0, count * scale) / block), 1, 4095).astype(np.int64)
+
+    return blocks(lists[:, 0]), blocks(lists.ravel())
 
 
 def fit(vectors: DataFrame, list_rows: int, most_lists: int, sample: int, width: int, rounds: int, seed: int, block: int, probes: int) -> tuple[dict[str, Quantizer], dict[str, tuple[np.ndarray, np.ndarray]]]:
@@ -98,8 +126,8 @@ def fit(vectors: DataFrame, list_rows: int, most_lists: int, sample: int, width:
     sizes = {r["model"]: r["count"] for r in vectors.groupBy("model").count().collect()}  # one row a model
     out, grid = {}, {}
     for k, (model, n) in enumerate(sorted(sizes.items())):
-        lists = max(1, min(most_lists, round(n / list_rows)))
-        want = min(n, sample, max(48 * lists, 2048))
+        lists = max(1, min(most_lists * most_lists, round(n / list_rows)))
+        want = min(n, sample, max(48 * min(lists, most_lists), 2048))
         part = vectors.where(F.col("model") == model)
         if want < n:
             part = part.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 20)) < int(want / n * (1 << 20)))
@@ -108,7 +136,7 @@ def fit(vectors: DataFrame, list_rows: int, most_lists: int, sample: int, width:
             rows = vectors.where(F.col("model") == model).select("vec_id", "vec").limit(want).toArrow()
         flat = rows.column("vec").combine_chunks()
         x = np.asarray(flat.flatten(), np.float32).reshape(rows.num_rows, -1)
-        out[model] = Quantizer(_unit(x), lists, width, rounds, seed + k)
+        out[model] = Quantizer(_unit(x), lists, most_lists, width, rounds, seed + k)
         grid[model] = _grid(out[model], n, _unit(x), block, probes)
     return out, grid
 
