@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,9 +113,11 @@ def pack_sections(blocks: DataFrame, most: int = 400, least: int = 60) -> DataFr
     parts = F.when(n > most, F.transform(X.sentences("text"), X.token_count))
     rows = section_paths(blocks).select("doc_id", "block_idx", "section_path", F.coalesce(F.col("kind") == "heading", F.lit(False)).alias("head"), n.alias("n"), parts.alias("parts")).where("head or n > 0")
 
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
+    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "section_path", "head", "n", "parts"))).alias("rows"))  # the blocks of one document
+
+    def fold(doc_id: int, blocks: list) -> list[list]:
         sections: list[list] = []  # path, tokens of the body, rows (block, pieces) with the heading first
-        for idx, path, head, size, parts in sorted(zip(doc["block_idx"], doc["section_path"], doc["head"], doc["n"], doc["parts"]), key=lambda r: r[0]):
+        for idx, path, head, size, parts in (b.values() for b in blocks):
             if head or not sections:
                 sections.append([tuple(path), 0, 0, []])
             here = sections[-1]
@@ -139,14 +142,23 @@ def pack_sections(blocks: DataFrame, most: int = 400, least: int = 60) -> DataFr
                 for at, size in pieces:
                     if not size:
                         continue
-                    if fresh or out[-1][6] + size > most:
-                        out.append([len(out), list(path), idx, idx, at, at, 0])
+                    if fresh or out[-1][7] + size > most:
+                        out.append([doc_id, len(out), list(path), idx, idx, at, at, 0])
                         fresh = False
-                    out[-1][3], out[-1][5] = idx, at + size
-                    out[-1][6] += size
-        return pd.DataFrame([(doc["doc_id"].iloc[0], *o) for o in out], columns=["doc_id", "chunk_index", "section_path", "first_block", "last_block", "first_token", "end_token", "token_count"])
+                    out[-1][4], out[-1][6] = idx, at + size
+                    out[-1][7] += size
+        return out
+
+    types = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    names = ["doc_id", "chunk_index", "section_path", "first_block", "last_block", "first_token", "end_token", "token_count"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            found = [o for d, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for o in fold(d, r)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
 
-    return rows.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_index int, section_path array<string>, first_block int, last_block int, first_token int, end_token int, token_count int")
+    return whole.mapInArrow(run, "doc_id long, chunk_index int, section_path array<string>, first_block int, last_block int, first_token int, end_token int, token_count int")
 
 
 def _gaps(found: list[str], window: int, percentile: float, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +185,10 @@ def topic_breaks(docs: DataFrame, window: int = 2, percentile: float = 0.9, buck
 
     def gaps(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in parts:
-            for doc_id, found in zip(batch["doc_id"], batch["s"]):
-                d, is_break = _gaps(found, window, percentile, buckets)
-                yield pd.DataFrame({"doc_id": doc_id, "sentence": np.arange(1, len(found)), "distance": d, "is_break": is_break})
+            found = [(doc_id, *_gaps(s, window, percentile, buckets)) for doc_id, s in zip(batch["doc_id"], batch["s"])]
+            sizes = [len(d) for _, d, _ in found]
+            cat = lambda k: np.concatenate([f[k] for f in found]) if found else []
+            yield pd.DataFrame({"doc_id": np.repeat([f[0] for f in found], sizes), "sentence": np.concatenate([np.arange(1, n + 1) for n in sizes]) if found else [], "distance": cat(1), "is_break": cat(2)})
 
     return s.mapInPandas(gaps, "doc_id long, sentence int, distance double, is_break boolean")
 

@@ -48,6 +48,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what :func:`materialize` wrote so far; results that read it must have been written elsewhere by then."""
+    while _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -55,5 +65,6 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     files survive the loss of executors and are compressed, unlike block caches.
     """
     path = f"{checkpoint_root(df.sparkSession)}/quarryline-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
