@@ -141,13 +141,13 @@ def split_blocks_and_chunks(blocks: DataFrame, chunks: DataFrame, **limits: int)
     b = materialize(b, "pieces")  # few: only oversized blocks have pieces
     paths = block_paths(blocks, b.select("doc_id", "block_idx").distinct())
     b = b.join(paths, ["doc_id", "block_idx"]).select(F.lit("block").alias("item_kind"), key.alias("item_key"), "doc_id", *_OUT, "section_path")
-    from pyspark.sql import Window as W
-
     named = chunks.where("chunk_id is not null").select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("seen"), F.to_json(F.struct("section_path")).alias("path"), "text")
-    # deliveries within the limit take part in what counts as last, so that an older, longer text does not stay
-    c = split_texts(named.withColumn("print", F.xxhash64("text")), ["chunk_id", "doc_id", "seen", "path", "print"], "text", mark_others=True, **limits)
+    # deliveries within the limit take part in what counts as last, so that an older, longer text does not stay;
+    # a chunk_id with very many deliveries is folded before the shuffle
+    c = materialize(split_texts(named.withColumn("print", F.xxhash64("text")), ["chunk_id", "doc_id", "seen", "path", "print"], "text", mark_others=True, **limits), "deliveries")
     mine = F.struct("seen", "print", "doc_id", "path")
-    c = c.withColumn("last", F.max(mine).over(W.partitionBy("chunk_id"))).where(mine.eqNullSafe(F.col("last")) & (F.col("piece_index") >= 0)).dropDuplicates(["chunk_id", "piece_index"])
+    last = c.groupBy("chunk_id").agg(F.max(mine).alias("last"))
+    c = c.where("piece_index >= 0").join(last, "chunk_id").where(mine.eqNullSafe(F.col("last"))).dropDuplicates(["chunk_id", "piece_index"])
     c = c.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_key"), F.col("doc_id").cast("long").alias("doc_id"), *_OUT, F.from_json("path", "section_path array<string>")["section_path"].alias("section_path"))
     return b.unionByName(c)
 
