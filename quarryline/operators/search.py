@@ -213,3 +213,37 @@ def decide(action: str, tenant: Column, visibility: Column, owner: Column, calle
     if action == "read":
         return F.when(foreign, "other_tenant").when(hidden, "private").otherwise("allow")
     return F.when(foreign, "other_tenant").when(hidden, "private").when((t == "global") & (visibility == "public"), "read_only").when(own | (visibility != "private"), "allow").otherwise("private")
+
+
+def authorize(action: str, tenant: Column, visibility: Column, owner: Column, caller_tenant: Column, caller: Column, admin: Column) -> Column:
+    """allow, or why a caller may not read, modify or delete a document: what is global and public can be read by all and changed by administrators, other tenants' documents by administrators
+    alone; a private document is read and any owned document changed by its owner or an administrator. A caller without tenant belongs to the global one."""
+    t, v, c = F.coalesce(tenant, F.lit("global")), F.coalesce(visibility, F.lit("tenant")), F.coalesce(caller_tenant, F.lit("global"))
+    power, other = F.coalesce(admin, F.lit(False)), owner.isNotNull() & ~F.coalesce(owner == caller, F.lit(False))
+    common = (t == "global") & (v == "public")
+    barred = other & (v == "private") if action == "read" else other
+    open_ = common if action == "read" else common & power
+    return F.when(open_, "allow").when(common, "read_only").when(~power & (t != c), "other_tenant").when(~power & barred, "not_owner").otherwise("allow")
+
+
+#: Columns a registry may be sorted by; others give the first.
+SORTS = ("updated_at", "title", "source_file", "doc_type", "jurisdiction", "indexed_at", "status")
+
+
+def registry(docs: DataFrame, text: str | None = None, tenant: str | None = None, caller: str | None = None, sort: str = "updated_at", descending: object = True, limit: int = 20, offset: int = 0, **equal: str | None) -> DataFrame:
+    """A page of a registry: title or file contains a text (in small or capital letters), columns equal given values (empty ones are ignored), and what a tenant's caller may list.
+
+    A sort column that is not listed falls back to updated_at, a direction that is neither 'asc' nor False to descending; equal rows come by doc_id.
+    """
+    keep = F.lit(True)
+    if text:
+        keep = keep & (F.contains(F.lower("title"), F.lit(text.lower())) | F.contains(F.lower("source_file"), F.lit(text.lower())))
+    for name in ("doc_type", "jurisdiction", "status"):
+        if equal.get(name):
+            keep = keep & (F.col(name) == equal[name])
+    if tenant:
+        own = F.coalesce("tenant_id", F.lit("global")).isin(tenant, "global")
+        keep = keep & own & (F.coalesce("visibility", F.lit("tenant")).isin("tenant", "public") | F.coalesce(F.col("owner_id") == (caller or ""), F.lit(False)))
+    by = F.col(sort if sort in SORTS else SORTS[0])
+    up = descending in ("asc", False)
+    return docs.where(keep).orderBy(by.asc_nulls_last() if up else by.desc_nulls_last(), "doc_id").offset(offset).limit(limit)

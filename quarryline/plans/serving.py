@@ -273,3 +273,75 @@ def faithfulness(spark: SparkSession, d: str) -> DataFrame:
     c = distinct_chunks(spark, d).where("text is not null").select("chunk_id", F.array_intersect(bag("text"), bag("text")).alias("ws"))
     t = p.join(c, "chunk_id").groupBy("id", "note").agg(F.flatten(F.collect_list("ws")).alias("k"))  # a few passages a note
     return t.select(F.col("id").alias("escalation_id"), F.round(F.size(F.array_intersect(bag("note"), F.array_distinct("k"))) / F.nullif(F.size(bag("note")), F.lit(0)), 6).alias("faithfulness"))
+
+
+CALLERS = [("member", "tn_01", "user_272", False), ("nobody", None, None, False), ("admin", "tn_02", "root", True)]
+
+
+@query(
+    """with c(who, ct, cu, adm) as (values ('member', 'tn_01', 'user_272', false), ('nobody', null, null, false), ('admin', 'tn_02', 'root', true)),
+x as (select doc_id, who, coalesce(tenant_id, 'global') as t, coalesce(visibility, 'tenant') as v, owner_id is not null and not coalesce(owner_id = cu, false) as other, coalesce(ct, 'global') as ct, adm from documents, c)
+select doc_id, who, case when t = 'global' and v = 'public' then 'allow' when not adm and t <> ct then 'other_tenant' when not adm and v = 'private' and other then 'not_owner' else 'allow' end as read_access,
+case when t = 'global' and v = 'public' then case when adm then 'allow' else 'read_only' end when not adm and t <> ct then 'other_tenant' when not adm and other then 'not_owner' else 'allow' end as modify_access from x"""
+)
+def authorizations(spark: SparkSession, d: str) -> DataFrame:
+    """What a member of a tenant, a caller without tenant and an administrator may do with every document."""
+    who = F.explode(F.array(*(F.struct(F.lit(n).alias("who"), F.lit(t).cast("string").alias("ct"), F.lit(u).cast("string").alias("cu"), F.lit(a).alias("adm")) for n, t, u, a in CALLERS))).alias("c")
+    x = table(spark, d, "documents").select("doc_id", "tenant_id", "visibility", "owner_id", who)
+    say = lambda a: search.authorize(a, *(F.col(k) for k in ("tenant_id", "visibility", "owner_id", "c.ct", "c.cu", "c.adm")))
+    return x.select("doc_id", F.col("c.who").alias("who"), say("read").alias("read_access"), say("modify").alias("modify_access"))
+
+
+@query(
+    """select doc_id, title, doc_type, jurisdiction from documents where (contains(lower(title), 'policy') or contains(lower(source_file), 'policy')) and status = 'indexed'
+and coalesce(tenant_id, 'global') in ('tn_01', 'global') and (coalesce(visibility, 'tenant') in ('tenant', 'public') or coalesce(owner_id = 'user_272', false)) order by jurisdiction asc nulls last, doc_id limit 30 offset 3"""
+)
+def registry_search(spark: SparkSession, d: str) -> DataFrame:
+    """A page of a tenant member's registry search, sorted by jurisdiction."""
+    page = search.registry(table(spark, d, "documents"), "Policy", "tn_01", "user_272", "jurisdiction", "asc", 30, 3, doc_type="", status="indexed")
+    return page.select("doc_id", "title", "doc_type", "jurisdiction")
+
+
+@query(
+    f"""with c as (select embed_h as h, max(text) as text from {DISTINCT_CHUNKS} where embed_h is not null and text is not null group by 1), e as (select distinct h from emb where len(vec) > 0 and h is not null)
+select c.h, e.h is not null as cached, case when e.h is null then len(list_distinct(list_transform(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: ('0x' || substring(md5(w), 1, 4))::int % 256))) end as n_places from c left join e on e.h = c.h"""
+)
+def filled_cache(spark: SparkSession, d: str) -> DataFrame:
+    """The vector cache after a run: texts found in it, and the others with the hashed vector computed for them (once a text; here its number of places used)."""
+    c = distinct_chunks(spark, d).where("embed_h is not null and text is not null").groupBy(F.col("embed_h").alias("h")).agg(F.max("text").alias("text"))
+    e = table(spark, d, "emb").where("size(vec) > 0 and h is not null").select("h").distinct()
+    missing = search.without(c, e, "h")
+    place = F.conv(F.substring(F.md5("w"), 1, 4), 16, 10).cast("int") % 256
+    computed = missing.select("h", F.explode(X.words("text")).alias("w")).select("h", place.alias("place")).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_places"))
+    return c.select("h").join(e.withColumn("hit", F.lit(True)), "h", "left").join(computed, "h", "left").select("h", F.coalesce("hit", F.lit(False)).alias("cached"), F.when(F.col("hit").isNull(), F.coalesce("n_places", F.lit(0))).alias("n_places"))
+
+
+@query(
+    r"""with l as (select doc_id, status, nullif(regexp_replace(lower(trim(doc_hash)), '^sha-?256:\s*', ''), '') as digest, row_number() over (partition by doc_id order by snapshot_at desc, received_at desc nulls last, snap_id desc) as r from registry_snapshots where status <> 'failed'),
+m as (select doc_id, status, digest from l where r = 1), d as (select doc_id, nullif(regexp_replace(lower(trim(doc_hash)), '^sha-?256:\s*', ''), '') as digest, text from documents),
+a as (select coalesce(d.doc_id, m.doc_id) as doc_id, case when d.doc_id is null then 'prune' when m.doc_id is null or m.status = 'deleted' then 'new' when m.digest = d.digest then 'skip' else 'changed' end as action from d full join m on d.doc_id = m.doc_id),
+k as (select doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]')) as n from documents)
+select a.action, count(*) as n_documents, coalesce(sum(case when action in ('new', 'changed') then greatest(ceil((n - 400) / 352.0), 0) + (n > 0)::int end), 0)::bigint as n_chunks, coalesce(sum(case when action in ('new', 'changed') then n end), 0)::bigint as n_tokens from a left join k using (doc_id) group by 1"""
+)
+def ingest_report(spark: SparkSession, d: str) -> DataFrame:
+    """What an ingest run does: documents by action, and the windows and tokens that those taken in give."""
+    from quarryline.plans import governance
+
+    acts = governance.manifest_actions(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", X.token_count("text").alias("n"))
+    taken = F.col("action").isin("new", "changed")
+    chunks = F.greatest(F.ceil((F.col("n") - 400) / 352), F.lit(0)) + (F.col("n") > 0).cast("int")
+    return acts.join(docs, "doc_id", "left").groupBy("action").agg(F.count(F.lit(1)).alias("n_documents"), F.coalesce(F.sum(F.when(taken, chunks)), F.lit(0)).cast("long").alias("n_chunks"), F.coalesce(F.sum(F.when(taken, F.col("n"))), F.lit(0)).cast("long").alias("n_tokens"))
+
+
+@query(
+    f"""with c as {DISTINCT_CHUNKS}, g as (select id, status, json_extract_string(case when json_valid(passages) then passages end, '$[0].chunk_id') as chunk_id from escalations),
+l as (select g.id, case when g.status = 'open' then 'answer' else coalesce(g.status, 'answer') end as expected_behavior, c.source_file, c.page_start, c.section_path[len(c.section_path)] as section from g left join c using (chunk_id))
+select id as escalation_id, source_file, page_start, section from l where expected_behavior = 'answer' and source_file is not null and (page_start is not null or section is not null)"""
+)
+def labelled_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Open questions that name a source and a page or section: those that can be scored."""
+    c = distinct_chunks(spark, d).select("chunk_id", "source_file", "page_start", F.try_element_at("section_path", F.lit(-1)).alias("section"))
+    first = F.get(F.from_json("passages", "array<struct<chunk_id: string>>"), F.lit(0))["chunk_id"]
+    g = table(spark, d, "escalations").where(F.coalesce(F.col("status"), F.lit("open")).isin("open", "answer")).select(F.col("id").alias("escalation_id"), first.alias("chunk_id"))
+    return g.join(c, "chunk_id").where("source_file is not null and (page_start is not null or section is not null)").select("escalation_id", "source_file", "page_start", "section")
