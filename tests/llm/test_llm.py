@@ -1,16 +1,19 @@
 """Operators for training data against brute force, exact round trips and edge cases."""
 
 import datetime as dt
+import glob
 import heapq
+import os
 import random
 import re
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.llm import graph, mixing, neardup, packing, pii, splitting, tokens, truncation, vectors
+from quarryline.llm import graph, mixing, neardup, packing, pii, queries, splitting, tokens, truncation, vectors
 from quarryline.llm import sketch as S
 
 random.seed(1)
@@ -196,8 +199,6 @@ def test_pii_tables(spark):
 
 
 def test_redacted_keeps_texts_without_mention(spark, tmp_path):
-    from quarryline.llm import queries
-
     write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     write("known_names", NAMES, "name string, name_kind string")
     write("chunks", [("c1", "nothing here"), ("c1", "nothing here"), ("c2", "call (884) 555-0111"), ("c3", None)], "chunk_id string, text string")
@@ -550,3 +551,18 @@ def test_bands_are_shared_by_common_runs():
     assert (np.diff(own) >= 0).all() and set(own.tolist()) == {0, 1, 2} and (at >= 0).all() and (at < n[own]).all()
     keys = [set(key[own == k].tolist()) for k in range(3)]
     assert len(keys[0] & keys[1]) >= 5 and keys[2] <= keys[0] and len(keys[0]) < 40 and head[own == 2].all()
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    got = queries.queries()[name](spark, SF).toPandas()
+    want = con.execute(queries.oracle_sql()[name]).fetchdf()
+    flat = lambda df: sorted(map(str, df[sorted(df.columns)].astype(str).itertuples(index=False, name=None)))
+    assert sorted(got.columns) == sorted(want.columns) and flat(got) == flat(want)
