@@ -112,3 +112,8 @@ def normalize_text(c: Column | str, lines: bool = False) -> Column:
     t = F.regexp_replace(t, r"(?<=\p{Ll})-\n(?=\p{Ll})", "")
     parts = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t  ​]+", " ")))
     return F.array_join(F.filter(parts, lambda x: x != ""), "\n" if lines else " ")
+
+
+def signature(*fields: str) -> Column:
+    """Digest of the settings that a result was made with; nulls are left out."""
+    return F.substring(F.sha2(F.concat_ws("|", *fields), 256), 1, 16)

@@ -345,3 +345,15 @@ def labelled_questions(spark: SparkSession, d: str) -> DataFrame:
     first = F.get(F.from_json("passages", "array<struct<chunk_id: string>>"), F.lit(0))["chunk_id"]
     g = table(spark, d, "escalations").where(F.coalesce(F.col("status"), F.lit("open")).isin("open", "answer")).select(F.col("id").alias("escalation_id"), first.alias("chunk_id"))
     return g.join(c, "chunk_id").where("source_file is not null and (page_start is not null or section is not null)").select("escalation_id", "source_file", "page_start", "section")
+
+
+@query(
+    f"""with c as (select doc_id, substring(sha256(concat_ws('|', chunker, chunker_params, embedding_model)), 1, 16) as signature from {DISTINCT_CHUNKS} where doc_id is not null),
+w as (select signature from c group by 1 order by count(*) desc, signature limit 1)
+select c.doc_id, count(distinct c.signature) as n_signatures, bool_and(c.signature = w.signature) as is_current from c, w group by 1"""
+)
+def stale_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose chunks were made with other settings (chunker, parameters, model) than most chunks: an unchanged digest alone must not let an ingest skip them."""
+    c = distinct_chunks(spark, d).where("doc_id is not null").select("doc_id", X.signature("chunker", "chunker_params", "embedding_model").alias("signature"))
+    wanted = c.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "signature").limit(1).select(F.col("signature").alias("wanted"))
+    return c.join(F.broadcast(wanted)).groupBy("doc_id").agg(F.count_distinct("signature").alias("n_signatures"), F.bool_and(F.col("signature") == F.col("wanted")).alias("is_current"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quarryline.functions import text as X
+from quarryline.session import materialize
 
 SUFFIXES = r"(?i)\.(md|markdown|html?|txt)$"
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -146,7 +147,7 @@ def html_blocks(docs: DataFrame) -> DataFrame:
 
 def load_folder(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(documents, blocks): metadata by sidecar, then front matter, then the content, then defaults."""
-    files = discover(spark, root).withColumn("text", F.decode("content", "UTF-8")).drop("content")
+    files = materialize(discover(spark, root).withColumn("text", F.decode("content", "UTF-8")).drop("content"), "files")  # the folder is read once
     html = F.col("rel").rlike(r"(?i)\.html?$")
     blocks = markdown_blocks(files.where(~html)).unionByName(html_blocks(files.where(html)))
     heads = blocks.where("kind = 'heading'").groupBy("doc_id").agg(F.min_by("text", "block_idx").alias("found_title"))
