@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,33 +92,41 @@ def overlaps(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("overlap", F.coalesce(shared, F.lit(0))).withColumn("is_first", F.lag("chunk_id").over(order).isNull())
 
 
-def _pieces(n: int, most: int, sentences: Callable[[], list[int]]) -> list[tuple[int, int]]:
-    """(first token, tokens) of the pieces of a text of ``n`` tokens: whole, else its sentences, of these the oversized by windows of ``most``."""
+_TOKENS = re.compile(r"\w+|[^\w\s]")
+
+
+def _pieces(text: str, n: int, most: int, sentences: list) -> list[tuple[int, int, str]]:
+    """(first token, tokens, text) of the pieces of a text of ``n`` tokens: whole, else its sentences (tokens, text), of these the oversized by windows of ``most``."""
     if n <= most:
-        return [(0, n)]
+        return [(0, n, text.strip())]
     out, at = [], 0
-    for k in sentences():
-        out += [(at + i, min(most, k - i)) for i in range(0, k, most)]
+    for k, sentence in ((x["n"], x["text"]) for x in sentences):
+        if k <= most:
+            out.append((at, k, sentence.strip()))
+        else:
+            spans = [m.span() for m in _TOKENS.finditer(sentence)]
+            out += [(at + i, min(most, k - i), sentence[spans[i][0] : spans[min(i + most, len(spans)) - 1][1]] if i < len(spans) else "") for i in range(0, k, most)]
         at += k
     return out
 
 
 def pack_sections(blocks: DataFrame, most: int = 400, least: int = 60) -> DataFrame:
-    """(doc_id, chunk_index, section_path, first_block, last_block, first_token, end_token, token_count): blocks packed within sections up to ``most`` tokens.
+    """(doc_id, chunk_index, section_path, first_block, last_block, first_token, end_token, token_count, text): blocks packed within sections up to ``most`` tokens.
 
     A section goes from a heading to the next; those without body are dropped. Sections below ``least`` tokens join the next of the same
     parent until they are not, whose heading stays inline; the path is the first one's. A block above ``most`` is packed by sentences, a sentence above it by windows of
-    ``most``. A chunk begins at ``first_token`` of its first block and ends before ``end_token`` of its last. The greedy fold runs per document on token counts; texts stay where they are.
+    ``most``. A chunk begins at ``first_token`` of its first block and ends before ``end_token`` of its last; its text has a blank between pieces of a block and a blank line between blocks.
+    The greedy fold runs over one document's blocks at a time, a batch of documents to a call.
     """
     n = F.coalesce(X.token_count("text"), F.lit(0))
-    parts = F.when(n > most, F.transform(X.sentences("text"), X.token_count))
-    rows = section_paths(blocks).select("doc_id", "block_idx", "section_path", F.coalesce(F.col("kind") == "heading", F.lit(False)).alias("head"), n.alias("n"), parts.alias("parts")).where("head or n > 0")
+    parts = F.when(n > most, F.transform(X.sentences("text"), lambda x: F.struct(X.token_count(x).alias("n"), x.alias("text"))))
+    rows = section_paths(blocks).select("doc_id", "block_idx", "section_path", F.coalesce(F.col("kind") == "heading", F.lit(False)).alias("head"), n.alias("n"), parts.alias("parts"), F.coalesce("text", F.lit("")).alias("text")).where("head or n > 0")
 
-    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "section_path", "head", "n", "parts"))).alias("rows"))  # the blocks of one document
+    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "section_path", "head", "n", "parts", "text"))).alias("rows"))  # the blocks of one document
 
     def fold(doc_id: int, blocks: list) -> list[list]:
         sections: list[list] = []  # path, tokens of the body, rows (block, pieces) with the heading first
-        for idx, path, head, size, parts in (b.values() for b in blocks):
+        for idx, path, head, size, parts, text in (b.values() for b in blocks):
             if head or not sections:
                 sections.append([tuple(path), 0, 0, []])
             here = sections[-1]
@@ -125,7 +134,7 @@ def pack_sections(blocks: DataFrame, most: int = 400, least: int = 60) -> DataFr
                 here[2] = 1  # rows before the body
             else:
                 here[1] += size
-            here[3].append((idx, _pieces(size, most, lambda: [int(k) for k in parts])))
+            here[3].append((idx, _pieces(text, size, most, parts)))
         sections = [s for s in sections if s[1]]
         out: list[list] = []
         k = 0
@@ -139,18 +148,19 @@ def pack_sections(blocks: DataFrame, most: int = 400, least: int = 60) -> DataFr
             k += 1
             fresh = True
             for idx, pieces in packed:
-                for at, size in pieces:
+                for at, size, text in pieces:
                     if not size:
                         continue
                     if fresh or out[-1][7] + size > most:
-                        out.append([doc_id, len(out), list(path), idx, idx, at, at, 0])
+                        out.append([doc_id, len(out), list(path), idx, idx, at, at, 0, ""])
                         fresh = False
+                    out[-1][8] += ("" if not out[-1][8] else " " if out[-1][4] == idx else "\n\n") + text
                     out[-1][4], out[-1][6] = idx, at + size
                     out[-1][7] += size
         return out
 
-    types = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-    names = ["doc_id", "chunk_index", "section_path", "first_block", "last_block", "first_token", "end_token", "token_count"]
+    types = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    names = ["doc_id", "chunk_index", "section_path", "first_block", "last_block", "first_token", "end_token", "token_count", "text"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -158,7 +168,7 @@ def pack_sections(blocks: DataFrame, most: int = 400, least: int = 60) -> DataFr
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
 
-    return whole.mapInArrow(run, "doc_id long, chunk_index int, section_path array<string>, first_block int, last_block int, first_token int, end_token int, token_count int")
+    return whole.mapInArrow(run, "doc_id long, chunk_index int, section_path array<string>, first_block int, last_block int, first_token int, end_token int, token_count int, text string")
 
 
 def _gaps(found: list[str], window: int, percentile: float, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -165,6 +165,15 @@ def test_pack_sections_splits_oversized_blocks(spark):
     ]
 
 
+def test_pack_sections_keeps_the_text(spark):
+    """Every chunk's text has its tokens, and all bodies come out whole and in order."""
+    big = "First part here. " + "word, " * 30 + "stop. Last one."
+    rows = [(1, 0, "H", "heading", 1), (1, 1, big, "paragraph", None), (1, 2, " a  b ", "paragraph", None), (1, 3, None, "paragraph", None), (1, 4, "K", "heading", 2), (1, 5, "c", "paragraph", None)]
+    got = layout.pack_sections(spark.createDataFrame(rows, "doc_id long, block_idx int, text string, kind string, level int"), most=12, least=0).orderBy("chunk_index").collect()
+    assert all(len(layout._TOKENS.findall(r.text)) == r.token_count <= 12 for r in got)
+    assert layout._TOKENS.findall(" ".join(r.text for r in got)) == layout._TOKENS.findall(f"{big} a b c") and "\n\na  b" in got[-2].text
+
+
 def test_semantic_chunks(spark):
     a, b = "Sanctions screening covers every payment today.", "Retention schedules follow local archive rules."
     df = spark.createDataFrame([(1, " ".join([a] * 6 + [b] * 6)), (2, "word " * 25 + "end."), (3, ""), (4, None), (5, "Short one.")], "doc_id long, text string")
