@@ -94,7 +94,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, perms: int
 
 
 def banded(sig: DataFrame, rows: int) -> DataFrame:
-    """Distinct (key, v): one key for each band of ``rows`` signature values, v = fp."""
+    """(key, v): one key for each band of ``rows`` signature values, v = fp; partitioned by key."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -104,14 +104,15 @@ def banded(sig: DataFrame, rows: int) -> DataFrame:
                 fps = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(fps)], names=["key", "v"])
 
-    # partitioned by key alone, so that removing repeats, counting buckets and joining their sizes need no further shuffle
-    return sig.where("sig is not null").select("fp", "sig").mapInArrow(run, "key long, v long").repartition("key").distinct()
+    return sig.where("sig is not null").select("fp", "sig").mapInArrow(run, "key long, v long").repartition("key")
 
 
 def bucket_pairs(rows: DataFrame, bucket: int) -> DataFrame:
-    """Distinct pairs (a < b) of ``v`` that share a ``key``; rows must be distinct (key, v)."""
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = materialize(rows.join(counts, "key"), "buckets")  # most buckets hold one
+    """Distinct pairs (a < b) of ``v`` that share a ``key``; (key, v) partitioned by key, rows may repeat."""
+    # most buckets hold one row: these go first, in the partitions that are there and without sorting; then repeats go and the rest is counted
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    some = materialize(rows.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct(), "buckets")
+    sized = some.join(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
     small = sized.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("v").alias("vs"))
     pairs_in = lambda xs, ys: F.explode(F.flatten(F.transform(xs, lambda x: F.transform(F.filter(ys, lambda y: y != x), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))))))
     one = small.select(F.explode(F.flatten(F.transform("vs", lambda x: F.transform(F.filter("vs", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
