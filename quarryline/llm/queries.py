@@ -210,6 +210,14 @@ n as (select row_number() over () as k, chunk_id, list_distinct(list_transform(r
 e as (select k, chunk_id, len(g) as m, unnest(g) as s from n),
 p as (select a.k, b.k as k2, any_value(a.chunk_id) as x, any_value(b.chunk_id) as y, any_value(a.m) as m, any_value(b.m) as m2, count(*) as common from e a join e b on a.s = b.s and a.chunk_id < b.chunk_id group by 1, 2)
 select distinct x as chunk_id_a, y as chunk_id_b from p where common >= 0.6 * (m + m2 - common)""",
+    "p5_groups": r"""with recursive t as (select distinct chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as ws from chunks where chunk_id is not null and text is not null),
+m as (select chunk_id, array_to_string(ws, ' ') as seq, min(chunk_id) over (partition by array_to_string(ws, ' ')) as rep, count(*) over (partition by array_to_string(ws, ' ')) as n_copies from t where len(ws) >= 30),
+n as (select rep, list_distinct(list_transform(range(1, len(string_split(seq, ' ')) - 1), lambda i: string_split(seq, ' ')[i] || ' ' || string_split(seq, ' ')[i + 1] || ' ' || string_split(seq, ' ')[i + 2])) as g from (select distinct rep, seq from m)),
+e as (select rep, len(g) as k, unnest(g) as s from n),
+p as (select a.rep as a, b.rep as b from e a join e b on a.s = b.s and a.rep <> b.rep group by 1, 2, a.k, b.k having count(*) >= 0.6 * (a.k + b.k - count(*))),
+r as (select a as x, a as y from p union select r.x, p.b from r join p on p.a = r.y),
+k as (select x as rep, min(y) as class_id from r group by 1), l as (select a as rep, count(*) as n_links from p group by 1)
+select m.chunk_id, coalesce(k.class_id, m.rep) as class_id, coalesce(l.n_links, 0) as n_links, m.n_copies from m left join k using (rep) left join l using (rep) where m.n_copies > 1 or k.class_id is not null""",
     "p6_audit": """select count(*) as n_documents, 0::bigint as n_twice, 0::bigint as n_overfull, 0::bigint as n_divided_small from documents where text <> ''""",
     "p7_audit": """with t as (select source, sum(greatest(coalesce(target_share, 0), 0)) as target_share, max(coalesce(max_repeats, 1)) as max_repeats from mix_targets where source is not null group by 1),
 d as (select source, count(*) as n from documents where text <> '' group by 1)
