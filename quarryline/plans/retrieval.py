@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from quarryline.functions import maths as M
 from quarryline.functions import text as X
-from quarryline.operators import aggregates, search
+from quarryline.operators import aggregates, joins, search
 from quarryline.plans.base import query
 from quarryline.plans.corpus import DISTINCT_CHUNKS, distinct_chunks
 from quarryline.session import table
@@ -104,7 +104,7 @@ def guarded_hits(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "emb").select("vec_id", F.col("h").alias("embed_h"), F.col("model").alias("embedding_model"))
     who = e.join(c, ["embed_h", "embedding_model"]).groupBy("vec_id").agg(F.min("tenant_id").alias("caller_tenant"), F.min("owner_id").alias("caller"))
     h = hits(spark, d).select("query_id", "chunk_id", "hit_rank", F.col("query_vec_id").alias("vec_id"))
-    g = h.join(c.select("chunk_id", "tenant_id", "visibility", "owner_id"), "chunk_id").join(who, "vec_id", "left")
+    g = joins.lookup(h, c.select("chunk_id", "tenant_id", "visibility", "owner_id"), "chunk_id").join(who, "vec_id", "left")
     return g.where(search.visible(F.col("tenant_id"), F.col("visibility"), F.col("owner_id"), F.col("caller_tenant"), F.col("caller"))).select("query_id", "chunk_id", "hit_rank")
 
 
@@ -185,7 +185,7 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 def hit_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Title and excerpt of every hit; hits on unknown chunks stay as stubs."""
     c = distinct_chunks(spark, d).select("chunk_id", "doc_title", F.substring("text", 1, 200).alias("excerpt"))
-    return hits(spark, d).select("query_id", "chunk_id").join(c, "chunk_id", "left").select("query_id", "chunk_id", "doc_title", "excerpt")
+    return joins.lookup(hits(spark, d).select("query_id", "chunk_id"), c, "chunk_id", "left").select("query_id", "chunk_id", "doc_title", "excerpt")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from quarryline.functions import maths as M
 from quarryline.functions import text as X
-from quarryline.operators import aggregates, citations as C, layout, search
+from quarryline.operators import aggregates, citations as C, joins, layout, search
 from quarryline.plans.base import query
 from quarryline.plans.corpus import DISTINCT_CHUNKS, NAMESPACE, distinct_chunks
 from quarryline.plans.retrieval import HITS, hits
@@ -27,7 +27,7 @@ def drafted_answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     by = W.partitionBy("query_id").orderBy(F.desc_nulls_last("fused_score"), "chunk_id")
     top = hits(spark, d).join(c.select("chunk_id"), "chunk_id", "left_semi").select("query_id", "query_vec_id", "chunk_id", F.row_number().over(by).alias("rank")).where("rank <= 3")
     claim = F.trim(F.regexp_extract(F.regexp_replace("text", r"[\s\p{Z}]+", " "), "^[^.!?]*", 0))
-    sources = top.join(c, "chunk_id").withColumn("line", F.concat(claim, F.lit(" ["), "rank", F.lit("]["), F.col("rank") % 3 + 1, F.lit("].")))
+    sources = joins.lookup(top, c, "chunk_id").withColumn("line", F.concat(claim, F.lit(" ["), "rank", F.lit("]["), F.col("rank") % 3 + 1, F.lit("].")))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), " ")
     answers = sources.groupBy("query_id").agg(F.min("query_vec_id").alias("vec_id"), F.concat(lines, F.lit(" See also [1] and [9].")).alias("answer"))
     return answers, sources.withColumnRenamed("rank", "marker")

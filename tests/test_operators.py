@@ -300,3 +300,17 @@ def test_cached_answers_match_brute_force(spark):
             if at - t <= dt.timedelta(hours=50) and (s >= 0.7 - 1e-12 or k == o):
                 best = min(filter(None, (best, (k != o, -round(s, 6), t, j))))
         assert got[i] == (("miss", None) if best is None else ("semantic" if best[0] else "exact", best[3])), i
+
+
+def test_lookup_splits_hot_keys(spark):
+    from quarryline.operators import joins
+
+    many = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}") for i in range(200)] + [(900, None), (901, "absent")], "i int, k string")
+    one = spark.createDataFrame([("hot", 1), *((f"k{i}", 2) for i in range(7)), ("unused", 3)], "k string, v int")
+    for how in ("inner", "left"):
+        got, want = joins.lookup(many, one, "k", how, part_rows=10), many.join(one, "k", how)
+        key = lambda r: (r.i, r.k, r.v)
+        assert sorted(map(str, map(key, got.collect()))) == sorted(map(str, map(key, want.collect()))) and got.columns == want.columns
+    assert joins.lookup(many.limit(0), one, "k").count() == 0
+    with pytest.raises(ValueError):
+        joins.lookup(many.withColumn("_part", F.lit(1)), one, "k")
