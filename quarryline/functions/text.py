@@ -114,6 +114,16 @@ def normalize_text(c: Column | str, lines: bool = False) -> Column:
     return F.array_join(F.filter(parts, lambda x: x != ""), "\n" if lines else " ")
 
 
+def canonical(*fields: str) -> Column:
+    """The fields as JSON with sorted keys and no blanks; nulls are kept."""
+    return F.to_json(F.struct(*(F.col(f) for f in sorted(fields))), {"ignoreNullFields": "false"})
+
+
 def signature(*fields: str) -> Column:
-    """Digest of the settings that a result was made with; nulls are left out."""
-    return F.substring(F.sha2(F.concat_ws("|", *fields), 256), 1, 16)
+    """Digest of the settings that a result was made with."""
+    return F.substring(F.sha1(canonical(*fields)), 1, 12)
+
+
+def is_page_number(c: Column | str) -> Column:
+    """Whether a line is a page number alone: 12, page 12, 12 of 40, 12/40."""
+    return F.trim(_c(c)).rlike(r"(?i)^(page\s+)?\d{1,4}(\s*(of|/)\s*\d{1,4})?$")

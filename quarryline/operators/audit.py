@@ -9,11 +9,7 @@ from pyspark.sql import Window as W
 from quarryline.functions import text as X
 
 FIRST = "GENESIS"
-
-
-def canonical(*fields: str) -> Column:
-    """The fields as JSON with sorted keys and no blanks; nulls are kept."""
-    return F.to_json(F.struct(*(F.col(f) for f in sorted(fields))), {"ignoreNullFields": "false"})
+canonical = X.canonical
 
 
 def link(previous: Column, payload: Column, key: bytes) -> Column:

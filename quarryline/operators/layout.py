@@ -51,16 +51,13 @@ def fixed_windows(docs: DataFrame, most: int = 400, overlap: float = 0.12) -> Da
     return tok.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), last), cut)).alias("w")).select("doc_id", "w.*")
 
 
-PAGE_NUMBER = r"(?i)^(page\s+)?\d{1,4}(\s*(of|/)\s*\d{1,4})?$"
-
-
 def running_blocks(blocks: DataFrame, share: float = 0.4, least: int = 3) -> DataFrame:
     """(doc_id, block_idx, reason) of blocks of paged documents to be stripped: texts that, digits apart, are on ``share`` of the document's pages (and ``least``), and bare page numbers."""
     b = blocks.where("page is not null and text is not null").select("doc_id", "block_idx", "page", F.trim("text").alias("t"), F.regexp_replace(X.squeeze(F.lower("text")), "[0-9]+", "#").alias("k"))
     pages = b.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
     seen = b.select("doc_id", "k", "page").distinct().groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("hits"))
     running = F.col("hits") >= F.greatest(F.lit(least), F.floor(F.lit(share) * F.col("pages")))
-    return b.join(pages, "doc_id").join(seen, ["doc_id", "k"]).where(running | F.col("t").rlike(PAGE_NUMBER)).select("doc_id", "block_idx", F.when(running, "running").otherwise("page_number").alias("reason"))
+    return b.join(pages, "doc_id").join(seen, ["doc_id", "k"]).where(running | X.is_page_number("t")).select("doc_id", "block_idx", F.when(running, "running").otherwise("page_number").alias("reason"))
 
 
 def block_pieces(blocks: DataFrame, most: int, namespace: str, params: str) -> DataFrame:

@@ -348,7 +348,7 @@ def labelled_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with c as (select doc_id, substring(sha256(concat_ws('|', chunker, chunker_params, embedding_model)), 1, 16) as signature from {DISTINCT_CHUNKS} where doc_id is not null),
+    f"""with c as (select doc_id, substring(sha1(to_json({{'chunker': chunker, 'chunker_params': chunker_params, 'embedding_model': embedding_model}})), 1, 12) as signature from {DISTINCT_CHUNKS} where doc_id is not null),
 w as (select signature from c group by 1 order by count(*) desc, signature limit 1)
 select c.doc_id, count(distinct c.signature) as n_signatures, bool_and(c.signature = w.signature) as is_current from c, w group by 1"""
 )
@@ -357,3 +357,29 @@ def stale_signatures(spark: SparkSession, d: str) -> DataFrame:
     c = distinct_chunks(spark, d).where("doc_id is not null").select("doc_id", X.signature("chunker", "chunker_params", "embedding_model").alias("signature"))
     wanted = c.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "signature").limit(1).select(F.col("signature").alias("wanted"))
     return c.join(F.broadcast(wanted)).groupBy("doc_id").agg(F.count_distinct("signature").alias("n_signatures"), F.bool_and(F.col("signature") == F.col("wanted")).alias("is_current"))
+
+
+@query(
+    r"""with b as (select doc_id, block_idx, trim(text) as t, regexp_extract(text, '^\s*(\d+(?:\.\d+)*)\.?\s', 1) as number from blocks where text is not null)
+select doc_id, block_idx, case when number <> '' then least(len(number) - len(replace(number, '.', '')) + 1, 6)::int end as depth, regexp_matches(t, '(?i)^(page\s+)?\d{1,4}(\s*(of|/)\s*\d{1,4})?$') as is_page_number from b"""
+)
+def numbered_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Depth by the numbering a block begins with, and whether it is a page number alone."""
+    b = table(spark, d, "blocks").where("text is not null")
+    return b.select("doc_id", "block_idx", X.heading_depth("text").alias("depth"), X.is_page_number("text").alias("is_page_number"))
+
+
+@query(
+    """select distinct chunk_id, coalesce(try_cast(json_extract_string(case when json_valid(chunker_params) then chunker_params end, '$.max_tokens') as int), 400) as max_tokens, chunker_params is not null and not json_valid(chunker_params) as broken from chunks"""
+)
+def chunker_settings(spark: SparkSession, d: str) -> DataFrame:
+    """The limit in a chunk's parameters, 400 where they are missing or broken."""
+    c = table(spark, d, "chunks").select("chunk_id", "chunker_params")
+    valid = F.from_json("chunker_params", "map<string, string>")
+    return c.select("chunk_id", F.coalesce(F.get_json_object("chunker_params", "$.max_tokens").try_cast("int"), F.lit(400)).alias("max_tokens"), (F.col("chunker_params").isNotNull() & valid.isNull()).alias("broken")).distinct()
+
+
+@query("""select event_id, user_id, ts from events where (starts_with(event_type, 'p') or event_type = 'error') and user_id is not null""")
+def stage_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events of the stages looked at: a common prefix of their type, or one type besides, and somebody to trace them to."""
+    return table(spark, d, "events").where((F.col("event_type").startswith("p") | (F.col("event_type") == "error")) & F.col("user_id").isNotNull()).select("event_id", "user_id", "ts")
