@@ -92,17 +92,21 @@ def overlaps(chunks: DataFrame) -> DataFrame:
 _TOKENS = re.compile(r"\w+|[^\w\s]")
 
 
+def _windows(text: str, n: int, most: int) -> list[tuple[int, int, str]]:
+    """(first token, tokens, text) of a text of ``n`` tokens: whole within ``most``, else windows of as many."""
+    if n <= most:
+        return [(0, n, text.strip())] if n else []
+    spans = [m.span() for m in _TOKENS.finditer(text)]
+    return [(i, min(most, n - i), text[spans[i][0] : spans[min(i + most, len(spans)) - 1][1]] if i < len(spans) else "") for i in range(0, n, most)]
+
+
 def _pieces(text: str, n: int, most: int, sentences: list) -> list[tuple[int, int, str]]:
     """(first token, tokens, text) of the pieces of a text of ``n`` tokens: whole, else its sentences (tokens, text), of these the oversized by windows of ``most``."""
     if n <= most:
-        return [(0, n, text.strip())]
+        return _windows(text, n, most)
     out, at = [], 0
     for k, sentence in ((x["n"], x["text"]) for x in sentences):
-        if k <= most:
-            out.append((at, k, sentence.strip()))
-        else:
-            spans = [m.span() for m in _TOKENS.finditer(sentence)]
-            out += [(at + i, min(most, k - i), sentence[spans[i][0] : spans[min(i + most, len(spans)) - 1][1]] if i < len(spans) else "") for i in range(0, k, most)]
+        out += [(at + i, size, piece) for i, size, piece in _windows(sentence, k, most)]
         at += k
     return out
 
@@ -201,7 +205,7 @@ def topic_breaks(docs: DataFrame, window: int = 2, percentile: float = 0.9, buck
 
 
 def semantic_chunks(docs: DataFrame, most: int = 400, least: int = 80, window: int = 2, percentile: float = 0.9, buckets: int = 256) -> DataFrame:
-    """(doc_id, chunk_index, first_sentence, last_sentence, first_token, token_count): sentences packed between topic breaks.
+    """(doc_id, chunk_index, first_sentence, last_sentence, first_token, token_count, text): sentences packed between topic breaks.
 
     A chunk ends at a break once it has ``least`` tokens, and before it would exceed ``most``; a last chunk below ``least`` joins the one before where it
     fits. A sentence above ``most`` leaves as windows of ``most`` tokens, ``first_token`` being their place in it.
@@ -221,8 +225,8 @@ def semantic_chunks(docs: DataFrame, most: int = 400, least: int = 80, window: i
                 if len(groups) > 1 and groups[-1][2] < least and groups[-2][2] + groups[-1][2] <= most:
                     _, last, k = groups.pop()
                     groups[-1][1], groups[-1][2] = last, groups[-1][2] + k
-                cut = [(a, z, at, min(most, k - at)) for a, z, k in groups for at in range(0, k, most)]
+                cut = [(a, z, at, n, text) for a, z, k in groups for at, n, text in _windows(" ".join(found[a : z + 1]), k, most)]
                 out += [(doc_id, i, *c) for i, c in enumerate(cut)]
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "first_sentence", "last_sentence", "first_token", "token_count"])
+            yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "first_sentence", "last_sentence", "first_token", "token_count", "text"])
 
-    return s.mapInPandas(pack, "doc_id long, chunk_index int, first_sentence int, last_sentence int, first_token int, token_count int")
+    return s.mapInPandas(pack, "doc_id long, chunk_index int, first_sentence int, last_sentence int, first_token int, token_count int, text string")

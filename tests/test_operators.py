@@ -177,7 +177,9 @@ def test_pack_sections_keeps_the_text(spark):
 def test_semantic_chunks(spark):
     a, b = "Sanctions screening covers every payment today.", "Retention schedules follow local archive rules."
     df = spark.createDataFrame([(1, " ".join([a] * 6 + [b] * 6)), (2, "word " * 25 + "end."), (3, ""), (4, None), (5, "Short one.")], "doc_id long, text string")
-    got = lambda **k: sorted(tuple(r) for r in layout.semantic_chunks(df, **k).collect())
+    full = lambda **k: sorted(tuple(r) for r in layout.semantic_chunks(df, **k).collect())
+    got = lambda **k: [r[:-1] for r in full(**k)]
+    assert [len(layout._TOKENS.findall(r[-1])) for r in full(most=10, least=2)] == [r[-2] for r in full(most=10, least=2)] and full(most=60, least=20)[0][-1] == " ".join([a] * 6)
     assert got(most=60, least=20) == [(1, 0, 0, 5, 0, 42), (1, 1, 6, 11, 0, 42), (2, 0, 0, 0, 0, 27), (5, 0, 0, 0, 0, 3)]
     assert [r[4:] for r in got(most=10, least=2) if r[0] == 2] == [(0, 10), (10, 10), (20, 7)]
     assert [r[3:] for r in got(most=50, least=45) if r[0] == 1] == [(6, 0, 49), (11, 0, 35)]  # the tail does not fit
