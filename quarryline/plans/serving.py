@@ -66,12 +66,17 @@ HASH = "('0x' || substring(md5({w}), 1, 4))::int"
 VEC = "list_transform(range(0, 256), lambda b: list_sum(list_transform(list_filter({ws}, lambda w: ('0x' || substring(md5(w), 1, 4))::int % 256 = b), lambda w: case when ('0x' || substring(md5(w), 5, 1))::int >= 8 then 1.0 else -1.0 end)))"
 
 
-def _asked(spark: SparkSession, d: str, every: int) -> DataFrame:
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as last ingested, written once for the legs of a search and what follows it."""
+    return materialize(distinct_chunks(spark, d).select(F.col("chunk_id").alias("passage_id"), "text", "doc_type", "tenant_id", "visibility", "owner_id"), "passages")
+
+
+def _asked(spark: SparkSession, d: str, passages: DataFrame, every: int) -> DataFrame:
     """(question_id, text, tenant): escalated questions; the tenant is that of the least cited chunk's, null without one."""
     e = table(spark, d, "escalations").where((F.col("id") % every == 0) & F.col("question").isNotNull())
-    cited = e.select("id", F.explode(F.from_json("passages", "array<struct<chunk_id: string>>")).alias("p")).select("id", F.col("p.chunk_id").alias("chunk_id"))
-    tenant = cited.join(distinct_chunks(spark, d).select("chunk_id", "tenant_id"), "chunk_id").groupBy("id").agg(F.min("tenant_id").alias("tenant"))
-    return e.select("id", "question").join(tenant, "id", "left").select(F.col("id").alias("question_id"), F.col("question").alias("text"), "tenant")
+    cited = e.select("id", F.explode(F.from_json("passages", "array<struct<chunk_id: string>>")).alias("p")).select("id", F.col("p.chunk_id").alias("passage_id"))
+    tenant = cited.join(passages.select("passage_id", "tenant_id"), "passage_id").groupBy("id").agg(F.min("tenant_id").alias("tenant"))
+    return materialize(e.select("id", "question").join(tenant, "id", "left").select(F.col("id").alias("question_id"), F.col("question").alias("text"), "tenant"), "questions")
 
 
 SEARCH = f"""with c as {DISTINCT_CHUNKS}, k as {TENANT_OF},
@@ -92,9 +97,12 @@ select question_id, passage_id, round(sum(1.0 / (60 + rank)), 12) as fused_score
 @query(SEARCH)
 def filtered_search(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
     """Hybrid search of the escalated questions whose id is divisible by ``every`` among the internal policies their tenant may see, against all chunks."""
-    p = distinct_chunks(spark, d).select(F.col("chunk_id").alias("passage_id"), "text", "doc_type", "tenant_id", "visibility", "owner_id")
-    found = search.hybrid(_asked(spark, d, every), p, 20, keep=search.where(doc_type="internal_policy"))
-    return found.withColumn("fused_rank", F.col("fused_rank").cast("long"))
+    p = _passages(spark, d)
+    return _found(_asked(spark, d, p, every), p)
+
+
+def _found(asked: DataFrame, passages: DataFrame) -> DataFrame:
+    return search.hybrid(asked, passages, 20, keep=search.where(doc_type="internal_policy")).withColumn("fused_rank", F.col("fused_rank").cast("long"))
 
 
 @query(
@@ -123,9 +131,9 @@ def answers(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
 
     Without a model the rerank score is the share of the question's words in the passage, and the answer consists of the leading claims of the two best passages. Below the floor there is no answer.
     """
-    asked = _asked(spark, d, every)
-    c = distinct_chunks(spark, d).select(F.col("chunk_id").alias("passage_id"), "text", "tenant_id", "visibility", "owner_id")
-    f = filtered_search(spark, d, every).select("question_id", "passage_id", "fused_rank").join(c, "passage_id").join(asked.select("question_id", F.array_distinct(X.words("text")).alias("qw"), "tenant"), "question_id")
+    p = _passages(spark, d)
+    asked = _asked(spark, d, p, every)
+    f = _found(asked, p).select("question_id", "passage_id", "fused_rank").join(p.drop("doc_type"), "passage_id").join(asked.select("question_id", F.array_distinct(X.words("text")).alias("qw"), "tenant"), "question_id")
     claim = F.trim(F.regexp_extract(F.regexp_replace("text", r"[\s\p{Z}]+", " "), "^[^.!?]*", 0))
     scored = f.withColumn("score", F.round(F.size(F.array_intersect("qw", X.words("text"))) / F.size("qw"), 6)).select("question_id", "passage_id", "fused_rank", "score", claim.alias("claim"), "text", "tenant_id", "visibility", "owner_id", "tenant")
     scored = materialize(scored, "candidates")  # twenty a question
