@@ -31,26 +31,25 @@ def cited_passages(answers: DataFrame, text_col: str) -> DataFrame:
     return pieces.select("*", F.posexplode(X.citation_markers("passage")).alias("turn", "marker")).withColumn("passage", F.trim("passage"))
 
 
-def support(passage: Column, text: Column, least: float = 0.2) -> tuple[Column, Column]:
-    """(supported, score): the share of the passage's content words, or of its numbers, that the text contains.
+def supported(df: DataFrame, passage_col: str, text_col: str, least: float = 0.2) -> DataFrame:
+    """Adds ``supported`` and ``support``: the share of the passage's content words, or of its numbers, that the text contains.
 
     A passage of markers alone or without content words is supported, a refusal never is; one content word must be found,
-    several must reach ``least``; a passage of three and more with numbers, none of them in the text, needs the words alone to reach it.
+    several must reach ``least``, by words or by numbers.
     """
-    claim = F.trim(F.regexp_replace(F.lower(passage), X.CITATION, ""))
-    body = F.lower(F.coalesce(text, F.lit("")))
-    trimmed = F.transform(F.regexp_extract_all(claim, F.lit(CLAIM_WORD), F.lit(0)), lambda w: F.regexp_replace(w, "^[$-]+|[$-]+$", ""))
-    words = F.filter(trimmed, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))
-    numbers = F.regexp_extract_all(claim, F.lit(CLAIM_NUMBER), F.lit(0))
-    in_text = lambda xs: F.size(F.filter(xs, lambda w: F.contains(body, w)))
-    n, found, n_numbers, found_numbers = F.size(words), in_text(words), F.size(numbers), in_text(numbers)
-    share = F.greatest(found / n, F.when(n_numbers > 0, found_numbers / n_numbers).otherwise(F.lit(0.0)))
-    refusal = F.lit(False)
-    for phrase in REFUSALS:
-        refusal = refusal | F.contains(claim, F.lit(phrase))
-    score = F.when(claim == "", 1.0).when(refusal, 0.0).when(n == 0, 1.0).otherwise(share)
-    ok = F.when(claim == "", True).when(refusal, False).when(n == 0, True).when(n == 1, found > 0).otherwise(share >= least)
-    return ok, score
+    # step by step: what several steps use is computed once a row
+    x = df.withColumn("_claim", F.trim(F.regexp_replace(F.lower(passage_col), X.CITATION, ""))).withColumn("_body", F.lower(F.coalesce(text_col, F.lit(""))))
+    trimmed = F.transform(F.regexp_extract_all("_claim", F.lit(CLAIM_WORD), F.lit(0)), lambda w: F.regexp_replace(w, "^[$-]+|[$-]+$", ""))
+    x = x.withColumn("_words", F.filter(trimmed, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))).withColumn("_numbers", F.regexp_extract_all("_claim", F.lit(CLAIM_NUMBER), F.lit(0)))
+    for name in ("words", "numbers"):
+        x = x.withColumn(f"_{name}_found", F.size(F.filter(f"_{name}", lambda w: F.contains(F.col("_body"), w))))
+    n, found = F.size("_words"), F.col("_words_found")
+    numbers = F.when(F.size("_numbers") > 0, F.col("_numbers_found") / F.size("_numbers")).otherwise(F.lit(0.0))
+    refusal = F.col("_claim").rlike("|".join(REFUSALS))
+    x = x.withColumn("_share", F.greatest(found / n, numbers))
+    ok = F.when(F.col("_claim") == "", True).when(refusal, False).when(n == 0, True).when(n == 1, found > 0).otherwise(F.col("_share") >= least)
+    score = F.when(F.col("_claim") == "", 1.0).when(refusal, 0.0).when(n == 0, 1.0).otherwise(F.col("_share"))
+    return x.select(*df.columns, ok.alias("supported"), score.alias("support"))
 
 
 def may_cite(tenant: Column, visibility: Column, owner: Column, caller_tenant: Column, caller: Column) -> Column:

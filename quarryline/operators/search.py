@@ -64,18 +64,18 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, query_block: int
     return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
-def bm25_hits(questions: DataFrame, passages: DataFrame, k1: float = 1.2, b: float = 0.75, most_terms: int = 2_000_000, salt_rows: int = 200_000) -> DataFrame:
+def bm25_hits(questions: DataFrame, passages: DataFrame, k1: float = 1.2, b: float = 0.75, most_terms: int = 20_000, salt_rows: int = 200_000) -> DataFrame:
     """(question_id, passage_id, score) of all passages that have a word of the question, by BM25 over lower-cased words.
 
     (question_id, text) against (passage_id, text). Corpus statistics cover all passages. A passage is taken into words once; its words are cut to those asked for before they are
-    exploded (the asked words go to every task up to ``most_terms`` of them, else by a join), and what is left is written once. Terms with very many postings are joined in salted parts.
+    exploded (up to ``most_terms`` asked words as a set in the plan, more by a join), and what is left is written once. Terms with very many postings are joined in salted parts.
     """
     asked = materialize(questions.select("question_id", F.explode(F.array_distinct(X.words("text"))).alias("term")), "asked")
     terms = asked.select("term").distinct()
     words = passages.select("passage_id", X.words("text").alias("ws"))
-    if terms.count() <= most_terms:
-        wanted = F.broadcast(terms.agg(F.map_from_arrays(F.collect_list("term"), F.collect_list(F.lit(True))).alias("wanted")))
-        kept = words.join(wanted).select("passage_id", F.size("ws").alias("len"), F.filter("ws", lambda w: F.coalesce(F.col("wanted")[w], F.lit(False))).alias("ws"))
+    few = [r["term"] for r in terms.limit(most_terms + 1).collect()]
+    if len(few) <= most_terms:
+        kept = words.select("passage_id", F.size("ws").alias("len"), F.filter("ws", lambda w: w.isin(few)).alias("ws"))
         rows = materialize(kept, "words")
         postings = rows.select("passage_id", "len", F.explode("ws").alias("term")).groupBy("passage_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     else:

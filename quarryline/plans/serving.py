@@ -27,7 +27,8 @@ def drafted_answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     by = W.partitionBy("query_id").orderBy(F.desc_nulls_last("fused_score"), "chunk_id")
     top = hits(spark, d).join(c.select("chunk_id"), "chunk_id", "left_semi").select("query_id", "query_vec_id", "chunk_id", F.row_number().over(by).alias("rank")).where("rank <= 3")
     claim = F.trim(F.regexp_extract(F.regexp_replace("text", r"[\s\p{Z}]+", " "), "^[^.!?]*", 0))
-    sources = joins.lookup(top, c, "chunk_id").withColumn("line", F.concat(claim, F.lit(" ["), "rank", F.lit("]["), F.col("rank") % 3 + 1, F.lit("].")))
+    sources = materialize(joins.lookup(top, c, "chunk_id"), "sources")  # three a query
+    sources = sources.withColumn("line", F.concat(claim, F.lit(" ["), "rank", F.lit("]["), F.col("rank") % 3 + 1, F.lit("].")))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), " ")
     answers = sources.groupBy("query_id").agg(F.min("query_vec_id").alias("vec_id"), F.concat(lines, F.lit(" See also [1] and [9].")).alias("answer"))
     return answers, sources.withColumnRenamed("rank", "marker")
@@ -54,9 +55,9 @@ def citation_checks(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "emb").select("vec_id", F.col("h").alias("embed_h"), F.col("model").alias("embedding_model"))
     who = e.join(c, ["embed_h", "embedding_model"]).groupBy("vec_id").agg(F.min("tenant_id").alias("caller_tenant"), F.min("owner_id").alias("caller"))
     marks = C.cited_passages(answers, "answer").drop("answer").join(sources, ["query_id", "marker"]).join(who, "vec_id", "left")
-    ok, score = C.support(F.col("passage"), F.col("text"))
+    marks = C.supported(marks, "passage", "text")
     allowed = C.may_cite(*(F.col(k) for k in ("tenant_id", "visibility", "owner_id", "caller_tenant", "caller")))
-    marks = marks.select("query_id", "marker", "piece", "turn", "chunk_id", (ok & allowed).alias("accepted"), F.round(score, 6).alias("support"))
+    marks = marks.select("query_id", "marker", "piece", "turn", "chunk_id", (F.col("supported") & allowed).alias("accepted"), F.round("support", 6).alias("support"))
     return C.first_accepted(marks, ["query_id"], F.col("accepted"), "chunk_id", "support").select("query_id", "marker", "chunk_id", "piece", "support")
 
 
@@ -143,9 +144,8 @@ def answers(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.when(F.col("marker") <= 2, F.struct("marker", F.concat("claim", F.lit(" ["), "marker", F.lit("].")).alias("line")))))
     b = r.groupBy("question_id").agg(F.max("score").alias("confidence"), F.count(F.lit(1)).alias("n_sources"), F.array_join(F.transform(lines, lambda x: x["line"]), " ").alias("answer"), F.min_by("passage_id", "marker").alias("best_chunk"))
     said = b.withColumn("answer", F.when(F.col("confidence") >= 0.15, F.col("answer")))
-    ok, _ = C.support(F.col("passage"), F.col("text"))
     nobody = F.lit(None).cast("string")
-    marks = C.cited_passages(said.select("question_id", "answer"), "answer").join(r, ["question_id", "marker"]).withColumn("accepted", ok & C.may_cite(F.col("tenant_id"), F.col("visibility"), F.col("owner_id"), F.col("tenant"), nobody))
+    marks = C.supported(C.cited_passages(said.select("question_id", "answer"), "answer").join(r, ["question_id", "marker"]), "passage", "text").withColumn("accepted", F.col("supported") & C.may_cite(F.col("tenant_id"), F.col("visibility"), F.col("owner_id"), F.col("tenant"), nobody))
     cited = C.first_accepted(marks, ["question_id"], F.col("accepted")).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_citations"))
     out = asked.select("question_id").join(said, "question_id", "left").join(cited, "question_id", "left")
     return out.select("question_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), M.band("confidence").alias("state"), "answer", "best_chunk", F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))

@@ -233,8 +233,8 @@ def test_citations(spark):
     answer = "Bananas grow on purple mountains daily [1]. Due diligence is refreshed every 14 months [1][2]. See [3]. There is insufficient evidence about sanctions [4]. Refresh [5]\nnothing [9]"
     answers = spark.createDataFrame([(7, answer), (8, None), (9, "no marker")], "q int, answer string")
     src = spark.createDataFrame([(7, 1, text, "t1", "tenant", None), (7, 2, text, "t2", "public", None), (7, 3, text, "t1", "private", None), (7, 4, text, "t1", "tenant", None), (7, 5, text, None, "private", "other")], "q int, marker int, text string, tenant string, vis string, owner string")
-    m = C.cited_passages(answers, "answer").join(src, ["q", "marker"])
-    ok, score = C.support(F.col("passage"), F.col("text"))
+    m = C.supported(C.cited_passages(answers, "answer").join(src, ["q", "marker"]), "passage", "text")
+    ok = F.col("supported")
     see = C.may_cite(F.col("tenant"), F.col("vis"), F.col("owner"), F.lit("t1"), F.lit("me"))
     got = {r.marker: r.piece for r in C.first_accepted(m, ["q"], ok & see).collect()}
     assert got == {1: 1, 3: 2}
