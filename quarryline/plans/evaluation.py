@@ -158,3 +158,13 @@ def token_audit(spark: SparkSession, d: str) -> DataFrame:
     """Stored token counts against the text."""
     n = X.token_count("text")
     return distinct_chunks(spark, d).where("token_count is not null").select("chunk_id", "token_count", n.alias("counted"), (F.col("token_count") != n).alias("differs"))
+
+
+@query(
+    f"""with c as (select chunk_id, token_count, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]'))::int as counted from {DISTINCT_CHUNKS})
+select chunk_id, token_count, counted, case when token_count is null then 'missing' else 'wrong' end as fault from c where coalesce(token_count <> counted, true)"""
+)
+def token_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose stored token count is missing or is not that of their text."""
+    c = distinct_chunks(spark, d).select("chunk_id", "token_count", X.token_count("text").alias("counted"))
+    return c.where("coalesce(token_count <> counted, true)").withColumn("fault", F.when(F.col("token_count").isNull(), "missing").otherwise("wrong"))

@@ -33,14 +33,14 @@ _ROOTS: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the cluster's ``spark.checkpoint.dir``.
+    """Shared folder for cut lineage: the cluster's ``spark.checkpoint.dir``, or the one set on the context.
 
     Where that is unset, a local master (tests, a laptop) gets a folder of its own; on a cluster it is an
     error, as a folder of one machine would lose rows.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        context = spark.sparkContext
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = _ROOTS.get(context.applicationId) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
