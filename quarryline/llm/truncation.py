@@ -41,7 +41,7 @@ DIGIT = re.compile(r"\d")
 #: Ids of 8 bytes sent to every task at most; more are joined by shuffle.
 MOST_BROADCAST_IDS = 1_000_000
 WINDOW, SHINGLE, OPENING = 16, 5, 6
-#: A band held by more texts is hot: its texts meet the ``REACH`` that go on furthest after it, and all others only if none of these is a near-copy.
+#: A band held by more texts is hot: its texts meet the ``REACH`` that go on furthest after it, and all others if none of these shows them to be cut.
 HOT, REACH = 64, 4
 #: Words between the last common shingle and the end that are aligned by edit distance; a near-copy differs less.
 REST, LEAST = 64, 8
@@ -394,8 +394,8 @@ def near_copies(profiles: DataFrame, texts: DataFrame, kept: float, similarity:
         return materialize(_aligned(likely.join(text("a"), "a").join(text("b"), "b"), similarity, extra), "aligned")
 
     first = settled(met.distinct())
-    # texts whose hot bands led to no near-copy among those that go on furthest meet all that hold the bands
-    rest = materialize(asks.where(F.col("n") > hot).join(first, "doc_id", "left_anti"), "rest")
+    # texts that those going on furthest don't show to be cut meet all that hold their hot bands, whatever near-copies they have
+    rest = materialize(asks.where(F.col("n") > hot).join(first.where("cut"), "doc_id", "left_anti"), "rest")
     if rest.isEmpty():
         return first
     return first.unionByName(settled(ordered(rest.join(holders.drop("n", "zone"), "key")))).groupBy("doc_id").agg(F.max("cut").alias("cut"))

@@ -541,6 +541,20 @@ def test_cut_copies_in_a_hot_group(spark):
     assert got == {i for i in range(200) if i % 2}
 
 
+def test_cut_copy_behind_others_that_go_on_further(spark):
+    """All bands of a cut text and its source are hot and many other texts go on further after them; near-copies with the same end settle nothing."""
+    rng = random.Random(23)
+    body, tail, starts = prose(120, rng), prose(40, rng), [prose(6, rng), prose(6, rng)]
+    words = body.split()
+    twin = " ".join([*words[:30], "other", *words[31:]])
+    rows = [(i, "s", t) for i, t in enumerate([f"{starts[0]} {body}", f"{starts[0]} {twin}", f"{starts[1]} {body} {tail}.", f"{starts[1]} {twin} {tail}."])]
+    for at in range(0, 51, 10):
+        for _ in range(70):
+            rows.append((len(rows), "s", f"{prose(6 + at, rng)} {' '.join(words[at : at + 70])} {prose(200, rng)}."))
+    got = {r.doc_id for r in truncation.cut_texts(copies_frame(spark, rows)).where("by_copy").collect()}
+    assert got == {0, 1}
+
+
 def test_bands_are_shared_by_common_runs():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 200, dtype=np.uint64)
