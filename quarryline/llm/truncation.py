@@ -15,7 +15,7 @@ Three kinds of evidence, each over all rows:
   word at least ``fragment`` times as frequent as itself (its places at ends apart) is a fragment and closes nothing.
 
 Defined results: null ids are left out; null and blank texts are not cut (they reach no end to miss); a null
-source counts as a source of its own; repeated rows of one id give one row, cut if any of them is; empty input gives an empty
+source counts as a source of its own; all evidence is gathered from different texts (by a digest of 64 bits), however many copies there are of one; repeated rows of one id give one row, cut if any of them is; empty input gives an empty
 result; other columns are ignored.
 """
 
@@ -137,7 +137,7 @@ def bands(grams: np.ndarray, first: np.ndarray, n_words: np.ndarray) -> tuple[np
 
 
 def _scan(df: DataFrame, flush: int = 400_000, docs_at_once: int = 1000) -> DataFrame:
-    """One pass over the texts, two kinds of rows.
+    """One pass over different texts (same, text), two kinds of rows.
 
     ``total`` null: a text's lengths, ending, last word and bands. With ``word``: a task's places of a word. Else (context, total, ends): a task's places
     of a pair of successive words, a word or a beginning of a paragraph, and those that end a paragraph unpunctuated.
@@ -164,10 +164,9 @@ def _scan(df: DataFrame, flush: int = 400_000, docs_at_once: int = 1000) -> Data
 
         for batch in (whole.slice(k, docs_at_once) for whole in parts for k in range(0, whole.num_rows, docs_at_once)):
             out: dict[str, list] = {k: [] for k in FIELDS}
-            # ``same``: texts with one digest are copies, and evidence from copies is gathered once
             flat: list[str] = []
             first, n_words, p_start, p_size, p_end, line = [], [], [], [], [], []
-            for key, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 first.append(len(flat))
                 body = text.rstrip().rstrip(DOTS + "�").rstrip()
                 last = 0
@@ -181,12 +180,9 @@ def _scan(df: DataFrame, flush: int = 400_000, docs_at_once: int = 1000) -> Data
                         flat += found
                 n_words.append(len(flat) - first[-1])
                 line.append(len(p_start) - 1 if 0 < last <= OPENING else -1)
-                out["doc_id"].append(key)
-                out["source"].append(source)
+                out["same"].append(key)
                 out["n_chars"].append(len(text))
-                raw = text.encode("utf-8", "surrogatepass")
-                out["same"].append(xxhash.xxh3_64_intdigest(raw) - 2**63)
-                out["n_bytes"].append(len(raw))
+                out["n_bytes"].append(len(text.encode("utf-8", "surrogatepass")))
                 out["open"].append(ends_open(text))
                 out["broken"].append(text.rstrip().endswith("�"))
                 out["word"].append(flat[-1].lower() if last else None)
@@ -245,11 +241,11 @@ def _scan(df: DataFrame, flush: int = 400_000, docs_at_once: int = 1000) -> Data
         if vocabulary:
             yield known()
 
-    return df.mapInArrow(run, "doc_id long, source string, n_words int, n_chars long, n_bytes long, same long, open boolean, broken boolean, last2 long, last1 long, line long, keys array<long>, at array<int>, head long, word string, context long, total long, ends long")
+    return df.mapInArrow(run, "same long, n_words int, n_chars long, n_bytes long, open boolean, broken boolean, last2 long, last1 long, line long, keys array<long>, at array<int>, head long, word string, context long, total long, ends long")
 
 
 FIELDS = {
-    "doc_id": pa.int64(), "source": pa.string(), "n_words": pa.int32(), "n_chars": pa.int64(), "n_bytes": pa.int64(), "same": pa.int64(), "open": pa.bool_(), "broken": pa.bool_(),
+    "same": pa.int64(), "n_words": pa.int32(), "n_chars": pa.int64(), "n_bytes": pa.int64(), "open": pa.bool_(), "broken": pa.bool_(),
     "last2": pa.int64(), "last1": pa.int64(), "line": pa.int64(), "keys": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "head": pa.int64(), "word": pa.string(),
     "context": pa.int64(), "total": pa.int64(), "ends": pa.int64(),
 }
@@ -401,37 +397,47 @@ def near_copies(profiles: DataFrame, texts: DataFrame, kept: float, similarity:
     return first.unionByName(settled(ordered(rest.join(holders.drop("n", "zone"), "key")))).groupBy("doc_id").agg(F.max("cut").alias("cut"))
 
 
+def different_texts(src: DataFrame, docs: DataFrame) -> DataFrame:
+    """(same, text): every text once, from rows (doc_id, text, same) and (doc_id, same) of all of them; copies are all but the first of the ids that have a text."""
+    held = _few(docs.groupBy("same").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "least"))
+    rows = src.join(held, "same", "left")
+    # a text that comes twice under one id is left over twice
+    again = rows.where(F.col("doc_id") == F.col("least")).select("same", "text").dropDuplicates(["same"])
+    return rows.where("least is null").select("same", "text").unionByName(again)
+
+
 def cut_texts(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, kept: float = 0.35, similarity: float = 0.8, extra: int = 14, pile: int = 3, terminal: float = 0.15, fragment: int = 20
 ) -> DataFrame:
     """One row per id: doc_id, source, by_copy, by_limit, by_closing, is_cut, terminality (null for closed endings)."""
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    scan = materialize(_scan(src), "scan")
+    src = src.withColumn("same", F.xxhash64("text"))
+    docs = materialize(src.select("doc_id", "source", "same"), "docs")
+    texts = different_texts(src, docs)
+    scan = materialize(_scan(texts), "scan")
     prof = scan.where("total is null").drop("context", "total", "ends")
     lean = prof.drop("keys", "at", "head")
 
-    # near-copies; of equal texts one takes part
-    first = prof.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    again = prof.select("same", "doc_id").join(first.withColumnRenamed("doc_id", "least"), "same").where("doc_id <> least").select("doc_id").distinct()
-    one_each = prof.join(_few(again), "doc_id", "left_anti")
-    copies = near_copies(one_each.select("doc_id", "n_words", "keys", "at", "head", "open"), src.select("doc_id", "text"), kept, similarity, extra)
-    by_copy = copies.where("cut").join(prof.select("doc_id", "same"), "doc_id").select("same", F.lit(True).alias("by_copy")).distinct()
+    # near-copies
+    copies = near_copies(prof.select(F.col("same").alias("doc_id"), "n_words", "keys", "at", "head", "open"), texts.withColumnRenamed("same", "doc_id"), kept, similarity, extra)
+    by_copy = copies.where("cut").select(F.col("doc_id").alias("same"), F.lit(True).alias("by_copy"))
 
     # lengths piled up at the greatest length of a source; one row a source
-    most = lean.groupBy("source").agg(F.max("n_chars").alias("most_chars"), F.max("n_bytes").alias("most_bytes"))
+    sized = docs.join(lean.select("same", "n_chars", "n_bytes"), "same")
+    most = sized.groupBy("source").agg(F.max("n_chars").alias("most_chars"), F.max("n_bytes").alias("most_bytes"))
     most = most.select(F.col("source").alias("of"), "most_chars", "most_bytes")
     at_chars, at_bytes = F.col("n_chars") == F.col("most_chars"), F.col("n_bytes") == F.col("most_bytes")
-    longest = lean.join(most, F.col("source").eqNullSafe(F.col("of"))).where(at_chars | at_bytes)
-    texts = lambda at: F.count_distinct(F.when(at, F.col("same"))) >= pile
-    piled = longest.groupBy(F.col("of"), "most_chars", "most_bytes").agg(texts(at_chars).alias("chars_piled"), texts(at_bytes).alias("bytes_piled"))
-    known = lean.join(piled, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("by_limit", (at_chars & F.col("chars_piled")) | (at_bytes & F.col("bytes_piled")))
+    longest = sized.join(most, F.col("source").eqNullSafe(F.col("of"))).where(at_chars | at_bytes)
+    enough = lambda at: F.count_distinct(F.when(at, F.col("same"))) >= pile
+    piled = longest.groupBy(F.col("of"), "most_chars", "most_bytes").agg(enough(at_chars).alias("chars_piled"), enough(at_bytes).alias("bytes_piled"))
+    known = sized.join(piled, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("by_limit", (at_chars & F.col("chars_piled")) | (at_bytes & F.col("bytes_piled")))
 
     # closing words: every open text asks for its last two words, its last word and its closing line
     counts = scan.where("context is not null").groupBy("context").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
     is_open = lean.where("open and not broken")
-    ask = is_open.select("doc_id", "same", F.posexplode(F.array("last2", "last1", "line")).alias("slot", "context")).where("context is not null")
+    ask = is_open.select("same", F.posexplode(F.array("last2", "last1", "line")).alias("slot", "context")).where("context is not null")
     slot = lambda k, c: F.max(F.when(F.col("slot") == k, F.col(c)))
-    seen = ask.join(counts, "context").groupBy("doc_id", "same").agg(*(slot(k, c).alias(f"{c[0]}{n}") for k, n in ((0, 2), (1, 1), (2, 0)) for c in ("total", "ends")))
+    seen = ask.join(counts, "context").groupBy("same").agg(*(slot(k, c).alias(f"{c[0]}{n}") for k, n in ((0, 2), (1, 1), (2, 0)) for c in ("total", "ends")))
     less = lambda c: F.greatest(F.coalesce(c, F.lit(0)) - 1, F.lit(0))
     back = (less(F.col("e1")) + 0.1) / (less(F.col("t1")) + 1)
     back = (less(F.col("e2")) + back) / (less(F.col("t2")) + 1)
@@ -443,14 +449,13 @@ def cut_texts(
     )
     is_fragment = F.coalesce(F.col("longer") >= fragment * (F.coalesce(F.col("t1") - F.col("e1"), F.lit(0)) + 1), F.lit(False))
     closing = (
-        is_open.select("doc_id", "same", "line", "word").join(seen, ["doc_id", "same"], "left").join(beginnings, "word", "left")
-        .select("doc_id", "same", F.when(is_fragment, F.lit(0.0)).otherwise(score).alias("terminality"))
+        is_open.select("same", "line", "word").join(seen, "same", "left").join(beginnings, "word", "left")
+        .select("same", F.when(is_fragment, F.lit(0.0)).otherwise(score).alias("terminality"))
     )
 
     yes = lambda c: F.coalesce(c, F.lit(False))
-    rows_ = (
-        known.join(by_copy, "same", "left")
-        .join(closing, ["doc_id", "same"], "left")
-        .select("doc_id", "source", yes(F.col("by_copy")).alias("by_copy"), yes(F.col("by_limit")).alias("by_limit"), (F.col("broken") | yes(F.col("terminality") < terminal)).alias("by_closing"), "terminality")
+    told = lean.select("same", "broken").join(closing, "same", "left").join(by_copy, "same", "left")
+    rows_ = known.join(told, "same").select(
+        "doc_id", "source", yes(F.col("by_copy")).alias("by_copy"), yes(F.col("by_limit")).alias("by_limit"), (F.col("broken") | yes(F.col("terminality") < terminal)).alias("by_closing"), "terminality"
     )
     return rows_.groupBy("doc_id").agg(F.min("source").alias("source"), *(F.max(c).alias(c) for c in ("by_copy", "by_limit", "by_closing")), F.min("terminality").alias("terminality")).withColumn("is_cut", F.expr("by_copy or by_limit or by_closing"))

@@ -555,6 +555,19 @@ def test_cut_copy_behind_others_that_go_on_further(spark):
     assert got == {0, 1}
 
 
+def test_copies_of_a_text_do_not_vouch_for_its_end(spark):
+    """Every text under many ids, and some twice under one, is judged as if it came once."""
+    rng = random.Random(24)
+    sentence = lambda: " ".join(rng.choice(VOCAB[:300]) for _ in range(9)).capitalize() + "."
+    rows = [(i, "s", " ".join(sentence() for _ in range(6)) + (" " + " ".join(rng.choice(VOCAB[:300]) for _ in range(4)) if i % 3 == 0 else "")) for i in range(90)]
+    columns = ["by_copy", "by_limit", "by_closing", "is_cut"]
+    once = {r.doc_id: tuple(r[c] for c in columns) for r in truncation.cut_texts(copies_frame(spark, rows)).collect()}
+    many = [(k * 1000 + i, s, t) for i, s, t in rows for k in (0, 0, *range(1, 12))]
+    got = truncation.cut_texts(copies_frame(spark, many)).collect()
+    assert sum(c[2] for c in once.values()) > 20 and len(got) == 90 * 12
+    assert all(tuple(r[c] for c in columns) == once[r.doc_id % 1000] for r in got)
+
+
 def test_bands_are_shared_by_common_runs():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 200, dtype=np.uint64)
