@@ -36,12 +36,27 @@ def usable_vectors(df: DataFrame, id_col: str, group_col: str, vec_col: str) ->
     return v.join(F.broadcast(usual), "model").where((F.size("vec") == F.col("dim")) & (norm > 0) & (norm < float("inf"))).select("vec_id", "model", "vec")
 
 
+#: Numbers in one matrix of scores, about.
+CELLS = 2_000_000
+
+
+def _parts(x: np.ndarray, width: int) -> list[np.ndarray]:
+    """Rows of ``x`` in parts of which ``width`` numbers a row make about ``CELLS``."""
+    return np.array_split(x, max(1, -(-len(x) * width // CELLS)))
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    s = x @ c.T
+    s -= 0.5 * (c * c).sum(1)
+    return s.argmax(1)
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, unit: bool) -> np.ndarray:
     """Lloyd's algorithm on a bounded sample; empty centroids restart at random points."""
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = np.concatenate([(p @ c.T - 0.5 * (c * c).sum(1)).argmax(1) for p in np.array_split(x, max(1, len(x) // 4096))])
+        near = np.concatenate([_nearest(p, c) for p in _parts(x, len(c))])
         n = np.bincount(near, minlength=len(c))
         order = np.argsort(near, kind="stable")
         full = np.flatnonzero(n)
@@ -56,6 +71,8 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, unit: bool) -> np.nda
 def _best(s: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` greatest of each row, greatest first."""
     k = min(k, s.shape[1])
+    if k == 1:
+        return s.argmax(1)[:, None]
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
@@ -69,7 +86,7 @@ class Quantizer:
 
     def __init__(self, x: np.ndarray, lists: int, most_lists: int, width: int, rounds: int, seed: int) -> None:
         self.coarse = _kmeans(x, min(lists, most_lists, len(x)), rounds, seed, unit=True)
-        left = x - self.coarse[(x @ self.coarse.T).argmax(1)]
+        left = x - self.coarse[np.concatenate([(p @ self.coarse.T).argmax(1) for p in _parts(x, len(self.coarse))])]
         fine = min(-(-lists // len(self.coarse)), most_lists, len(x)) if lists > most_lists else 1
         self.fine = _kmeans(left, fine, rounds, seed + 1, unit=False) if fine > 1 else np.zeros((1, x.shape[1]), np.float32)
         self.lists = len(self.coarse) * len(self.fine)
@@ -83,10 +100,10 @@ class Quantizer:
 
     def near(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` nearest lists of each row, nearest first."""
-        if len(self.fine) == 1:
-            return _best(x @ self.coarse.T, probes)
         out, many = [], len(self.fine)
-        for part in np.array_split(x, max(1, len(x) * many // 500_000)):
+        if many == 1:
+            return np.concatenate([_best(p @ self.coarse.T, probes) for p in _parts(x, len(self.coarse))])
+        for part in _parts(x, max(len(self.coarse), probes * max(many, x.shape[1]))):
             c = _best(part @ self.coarse.T, probes)  # rows x coarse
             left = part[:, None, :] - self.coarse[c]
             # of equal rows the distance is that of left to the fine centroid, whatever the coarse one
@@ -97,7 +114,7 @@ class Quantizer:
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
         r = x - self.centroid(home)
-        return np.stack([(r[:, a:b] @ k.T - 0.5 * (k * k).sum(1)).argmax(1).astype(np.uint8) for a, b, k in zip(self.cuts, self.cuts[1:], self.books)], axis=1)
+        return np.stack([np.concatenate([_nearest(p, k) for p in _parts(r[:, a:b], len(k))]).astype(np.uint8) for a, b, k in zip(self.cuts, self.cuts[1:], self.books)], axis=1)
 
     def scores(self, q: np.ndarray, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric inner products, postings x queries."""
@@ -135,9 +152,9 @@ def fit(vectors: DataFrame, list_rows: int, most_lists: int, sample: int, width:
         if rows.num_rows == 0:  # a sample of very few rows may come out empty
             rows = vectors.where(F.col("model") == model).select("vec_id", "vec").limit(want).toArrow()
         flat = rows.column("vec").combine_chunks()
-        x = np.asarray(flat.flatten(), np.float32).reshape(rows.num_rows, -1)
-        out[model] = Quantizer(_unit(x), lists, most_lists, width, rounds, seed + k)
-        grid[model] = _grid(out[model], n, _unit(x), block, probes)
+        x = _unit(np.asarray(flat.flatten(), np.float32).reshape(rows.num_rows, -1))
+        out[model] = Quantizer(x, lists, most_lists, width, rounds, seed + k)
+        grid[model] = _grid(out[model], n, x, block, probes)
     return out, grid
 
 

@@ -241,6 +241,21 @@ def test_vectors_with_two_levels_of_lists(spark):
     assert z.lists == 64 and len(np.unique(z.near(vectors._unit(x.astype(np.float32)), 1))) > 30
 
 
+def test_fitting_many_lists_takes_little_memory():
+    """Scores of the sample against the centroids are made in parts, with one level of lists and with two."""
+    import tracemalloc
+
+    x = vectors._unit(np.random.default_rng(8).normal(size=(30_000, 16)).astype(np.float32))
+    for lists in (1000, 3000):
+        tracemalloc.start()
+        z = vectors.Quantizer(x, lists, 1000, 8, 1, 1)
+        vectors._grid(z, 10**6, x, 4096, 4)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert z.lists == lists and peak < 80e6, peak
+        assert (z.near(x[:100], 4) == z.near(x, 4)[:100]).mean() > 0.99
+
+
 def test_vectors_blocks_lose_nothing(spark):
     x = np.random.default_rng(5).normal(size=(400, 8))
     df = spark.createDataFrame([(i, "m", v.tolist()) for i, v in enumerate(x)], "id long, model string, vec array<float>")
