@@ -287,6 +287,32 @@ def test_search_filters_and_store_changes(spark):
     assert [(r.question_id, r.passage_id, r.n_lists) for r in found] == [(1, "c", 2), (1, "a", 2), (2, "c", 2)]
 
 
+def test_bm25_writes_no_postings(spark, monkeypatch):
+    """The best passages by BM25 against brute force, ties by id, over several blocks of both sides; what is written grows with passages and questions, not with their common words."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(30)]
+    p = [(f"p{i}", " ".join(rng.sample(vocab, 25) + rng.choices(vocab, k=5))) for i in range(300)] + [("none", None), *((f"same{i}", "w1 w2 w3") for i in range(9))]
+    q = [(i, " ".join(rng.sample(vocab, 6))) for i in range(20)] + [(90, "absent"), (91, "")]
+    written = []
+    plain = search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: written.append(plain(df, name)) or written[-1])
+    questions, passages = spark.createDataFrame(q, "question_id long, text string"), spark.createDataFrame(p, "passage_id string, text string")
+    got = {(r.question_id, r["rank"]): (r.passage_id, r.score) for r in search.bm25_topk(questions, passages, 7).collect()}
+    assert sum(df.count() for df in written) < 310 + 150
+    words = {k: t.split() for k, t in p if t}
+    mean = sum(map(len, words.values())) / len(words)
+    for k, t in q:
+        df = {w: sum(w in ws for ws in words.values()) for w in t.split()}
+        score = lambda ws: sum(math.log(1 + (len(p) - df[w] + 0.5) / (df[w] + 0.5)) * ws.count(w) * 2.2 / (ws.count(w) + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w in df)  # noqa: B023, E731
+        best = sorted((-round(score(ws), 6), name) for name, ws in words.items() if set(ws) & set(df))[:7]
+        assert [got.get((k, r + 1)) for r in range(len(best))] == [(name, -s) for s, name in best] and (k, len(best) + 1) not in got
+    blocks = search.bm25_best(questions, passages, 7, question_block=4, passage_block=50, most_blocks=2, most_terms=3)
+    assert {(r.question_id, r["rank"]): (r.passage_id, r.score) for r in blocks.collect()} == got
+
+
 def test_cached_answers_match_brute_force(spark):
     import random
 
