@@ -46,6 +46,11 @@ def test_query(spark, con, name):
     assert rows(got) == rows(want)
 
 
+def test_answers_every_question(spark, con):
+    want = {r[0] for r in con.execute("select id from escalations where question is not null").fetchall()}
+    assert {r["question_id"] for r in registry.queries()["answers"](spark, SF).select("question_id").collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
