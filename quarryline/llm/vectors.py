@@ -1,12 +1,12 @@
-"""k most similar vectors by an inverted file with product-quantised residuals.
+"""k most similar vectors by an inverted file.
 
-Coarse centroids and residual codebooks are fitted on a bounded hash sample (``sample`` rows a
+Centroids are fitted on a bounded hash sample (``sample`` rows a
 model at most); every usable vector is indexed. The lists grow with the vectors: above ``most_lists`` of them a list is a coarse centroid and a fine one, fitted on what the coarse
-ones leave over, so that ``most_lists`` coarse and as many fine centroids address a list of about ``list_rows`` vectors for up to ``most_lists`` squared lists. A vector is posted under its ``probes`` nearest
-centroids with its code; the vectors at home under a centroid are the queries of that cell. A cell scores its postings by
-asymmetric distance tables (one table per query and subspace; the inner product of query and home
-centroid plus the table entries of the residual code), keeps the ``rerank`` best per query and reranks these by the exact
-cosine. Postings carry the vector, so the rerank needs no join. Cells expected above ``block`` rows are cut
+ones leave over, so that ``most_lists`` coarse and as many fine centroids address up to ``most_lists`` squared lists. The more lists, the more often near vectors have different ones, so from ``many_lists`` lists on
+it is the lists that grow, up to ``most_rows`` vectors. A vector is posted under its nearest centroid and all that are not more than a margin further away, with the vector; the margin is set on the sample so that there are ``probes`` on average
+(one between centroids gets up to four times as many, one amid its list few); the vectors at home under a centroid are the queries of that cell. A cell multiplies its queries by its postings,
+keeps the ``rerank`` best per query and reranks these by the exact cosine. Postings carry the vector, so neither needs a join, and a product of short vectors costs less than look-ups of residual codes,
+which this had before. Cells expected above ``block`` rows are cut
 into a grid of query and posting blocks. Exact copies of a vector are folded before indexing and
 unfolded after it with at most k + 1 copies per neighbour, so a flood of copies stays linear.
 
@@ -38,6 +38,8 @@ def usable_vectors(df: DataFrame, id_col: str, group_col: str, vec_col: str) ->
 
 #: Numbers in one matrix of scores, about.
 CELLS = 2_000_000
+#: A vector is posted under this many times the average number of lists at most.
+MOST = 4
 
 
 def _parts(x: np.ndarray, width: int) -> list[np.ndarray]:
@@ -77,12 +79,28 @@ def _best(s: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
 
+def _top(s: np.ndarray, k: int, fold: int = 16) -> np.ndarray:
+    """Places of the ``k`` greatest of each row in any order; these are in the ``k`` groups of ``fold`` places with the greatest maxima."""
+    n, k = s.shape[1], min(k, s.shape[1])
+    if n < 2 * fold * k:
+        return np.argpartition(-s, k - 1, axis=1)[:, :k]
+    many = n // fold
+    first = np.argpartition(-s[:, : fold * many].reshape(len(s), fold, many).max(1), k - 1, axis=1)[:, :k]
+    at = (first[:, None, :] + np.arange(fold)[:, None] * many).reshape(len(s), -1)
+    at = np.concatenate([at, np.broadcast_to(np.arange(fold * many, n), (len(s), n - fold * many))], axis=1)
+    best = np.argpartition(-np.take_along_axis(s, at, 1), k - 1, axis=1)[:, :k]
+    return np.take_along_axis(at, best, 1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 class Quantizer:
-    """Coarse and fine centroids (a list is one of each) and residual codebooks (parts x 256 x width) of one model."""
+    """Coarse and fine centroids (a list is one of each) of one model; ``width`` is without effect."""
+
+    #: How much further than its nearest list (half the squared distance) another may be for a vector to be posted there.
+    margin = np.inf
 
     def __init__(self, x: np.ndarray, lists: int, most_lists: int, width: int, rounds: int, seed: int) -> None:
         self.coarse = _kmeans(x, min(lists, most_lists, len(x)), rounds, seed, unit=True)
@@ -90,44 +108,46 @@ class Quantizer:
         fine = min(-(-lists // len(self.coarse)), most_lists, len(x)) if lists > most_lists else 1
         self.fine = _kmeans(left, fine, rounds, seed + 1, unit=False) if fine > 1 else np.zeros((1, x.shape[1]), np.float32)
         self.lists = len(self.coarse) * len(self.fine)
-        residual = x - self.centroid(self.near(x, 1)[:, 0])
-        self.cuts = list(range(0, x.shape[1], width)) + [x.shape[1]]
-        self.books = [_kmeans(np.ascontiguousarray(residual[:, a:b]), min(256, len(x)), rounds, seed + a, unit=False) for a, b in zip(self.cuts, self.cuts[1:])]
-
-    def centroid(self, lists: np.ndarray) -> np.ndarray:
-        c = self.coarse[lists // len(self.fine)]
-        return c if len(self.fine) == 1 else c + self.fine[lists % len(self.fine)]
 
     def near(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` nearest lists of each row, nearest first."""
-        out, many = [], len(self.fine)
+        return self.ranked(x, probes)[0]
+
+    def ranked(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``probes`` nearest lists of each row, nearest first, and half their squared distances (up to a constant with one level of lists)."""
+        out, far, many = [], [], len(self.fine)
         if many == 1:
-            return np.concatenate([_best(p @ self.coarse.T, probes) for p in _parts(x, len(self.coarse))])
+            for part in _parts(x, len(self.coarse)):
+                s = part @ self.coarse.T
+                out.append(_best(s, probes))
+                far.append(-np.take_along_axis(s, out[-1], 1))
+            return np.concatenate(out), np.concatenate(far)
         for part in _parts(x, max(len(self.coarse), probes * max(many, x.shape[1]))):
             c = _best(part @ self.coarse.T, probes)  # rows x coarse
             left = part[:, None, :] - self.coarse[c]
             # of equal rows the distance is that of left to the fine centroid, whatever the coarse one
             score = 2 * left @ self.fine.T - (self.fine * self.fine).sum(1) - (left * left).sum(2, keepdims=True)
-            top = _best(score.reshape(len(part), -1), probes)
+            score = score.reshape(len(part), -1)
+            top = _best(score, probes)
             out.append(np.take_along_axis(c, top // many, 1) * many + top % many)
-        return np.concatenate(out)
+            far.append(-0.5 * np.take_along_axis(score, top, 1))
+        return np.concatenate(out), np.concatenate(far)
 
-    def encode(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
-        r = x - self.centroid(home)
-        return np.stack([np.concatenate([_nearest(p, k) for p in _parts(r[:, a:b], len(k))]).astype(np.uint8) for a, b, k in zip(self.cuts, self.cuts[1:], self.books)], axis=1)
+    def posted(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lists of each row, nearest first, and which of them the row is posted under."""
+        lists, far = self.ranked(x, MOST * probes)
+        return lists, far <= far[:, :1] + self.margin
 
-    def scores(self, q: np.ndarray, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric inner products, postings x queries."""
-        homes, at = np.unique(home, return_inverse=True)
-        out = (self.centroid(homes) @ q.T)[at]
-        for m, (a, b, k) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
-            out += (k @ q[:, a:b].T)[codes[:, m]]
-        return out
+    def set_margin(self, x: np.ndarray, probes: int) -> None:
+        """The margin at which the rows of ``x`` are posted under ``probes`` lists on average."""
+        _, far = self.ranked(x, MOST * probes)
+        over, k = (far[:, 1:] - far[:, :1]).ravel(), (probes - 1) * len(x)
+        self.margin = float(np.partition(over, k)[k]) if k < len(over) else np.inf
 
 
 def _grid(z: Quantizer, n: int, sample: np.ndarray, block: int, probes: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Query and posting blocks of each list, from the sample's shares; lists that the sample hardly meets are whole."""
-    lists = z.near(sample, probes)
+    lists, posted = z.posted(sample, probes)
     scale = n / len(sample)
 
     def blocks(a: np.ndarray) -> np.ndarray:
@@ -135,16 +155,21 @@ def _grid(z: Quantizer, n: int, sample: np.ndarray, block: int, probes: int, lea
         few = (count < least) & (len(z.fine) > 1)
         return np.clip(np.ceil(np.where(few, 0, count * scale) / block), 1, 4095).astype(np.int64)
 
-    return blocks(lists[:, 0]), blocks(lists.ravel())
+    return blocks(lists[:, 0]), blocks(lists[posted])
+
+
+def list_count(n: int, list_rows: int, many_lists: int, most_rows: int, most_lists: int) -> int:
+    """Lists for ``n`` vectors: of ``list_rows`` up to ``many_lists`` lists, then these grow to ``most_rows``, then there are more again."""
+    return max(1, min(most_lists * most_lists, round(n / list_rows), max(many_lists, round(n / most_rows))))
 
 
-def fit(vectors: DataFrame, list_rows: int, most_lists: int, sample: int, width: int, rounds: int, seed: int, block: int, probes: int) -> tuple[dict[str, Quantizer], dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """Quantizer and block grid of each model, from ``min(sample, 48 rows a list)`` hashed rows a model."""
+def fit(vectors: DataFrame, list_rows: int, many_lists: int, most_rows: int, most_lists: int, sample: int, width: int, rounds: int, seed: int, block: int, probes: int) -> tuple[dict[str, Quantizer], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Quantizer and block grid of each model, from ``min(sample, 128 rows a list)`` hashed rows a model."""
     sizes = {r["model"]: r["count"] for r in vectors.groupBy("model").count().collect()}  # one row a model
     out, grid = {}, {}
     for k, (model, n) in enumerate(sorted(sizes.items())):
-        lists = max(1, min(most_lists * most_lists, round(n / list_rows)))
-        want = min(n, sample, max(48 * min(lists, most_lists), 2048))
+        lists = list_count(n, list_rows, many_lists, most_rows, most_lists)
+        want = min(n, sample, max(128 * min(lists, most_lists), 2048))
         part = vectors.where(F.col("model") == model)
         if want < n:
             part = part.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 20)) < int(want / n * (1 << 20)))
@@ -153,13 +178,16 @@ def fit(vectors: DataFrame, list_rows: int, most_lists: int, sample: int, width:
             rows = vectors.where(F.col("model") == model).select("vec_id", "vec").limit(want).toArrow()
         flat = rows.column("vec").combine_chunks()
         x = _unit(np.asarray(flat.flatten(), np.float32).reshape(rows.num_rows, -1))
-        out[model] = Quantizer(x, lists, most_lists, width, rounds, seed + k)
+        # vectors that centroids are fitted on are nearer to them than others, so every eighth is kept for the margin
+        kept = np.arange(len(x)) % 8 == 7 if len(x) >= 8 * 256 else np.zeros(len(x), bool)
+        out[model] = Quantizer(x[~kept], lists, most_lists, width, rounds, seed + k)
+        out[model].set_margin(x[kept] if kept.any() else x, probes)
         grid[model] = _grid(out[model], n, x, block, probes)
     return out, grid
 
 
 def _postings(vectors: DataFrame, quantizers: dict[str, Quantizer], grid: dict[str, tuple[np.ndarray, np.ndarray]], probes: int) -> DataFrame:
-    """A row for each vector, list probed and block: cell, whether it is at home there (a query), its code and vector."""
+    """A row for each vector, list probed and block: cell, whether it is at home there (a query) and its vector."""
     names = sorted(quantizers)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,21 +202,23 @@ def _postings(vectors: DataFrame, quantizers: dict[str, Quantizer], grid: dict[s
                 raw = np.asarray(part.column(2).flatten(), np.float32).reshape(len(rows), -1)
                 x = _unit(raw)
                 ids = part.column(0).to_numpy()
-                lists = z.near(x, probes)
-                codes = z.encode(x, lists[:, 0])
+                lists, posted = z.posted(x, probes)
                 qs, cs = grid[name]
                 mix = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
                 who, cell, kind = [], [], []
                 for p in range(lists.shape[1]):
-                    at = lists[:, p]
+                    on = np.flatnonzero(posted[:, p])
+                    if not len(on):
+                        break
+                    at = lists[on, p]
                     for is_query, own, other in ((True, qs, cs), (False, cs, qs)):
                         if is_query and p:
                             continue
-                        mine = (mix % own[at].astype(np.uint64)).astype(np.int64)
+                        mine = (mix[on] % own[at].astype(np.uint64)).astype(np.int64)
                         for o in range(int(other[at].max())):
                             sel = np.flatnonzero(other[at] > o)
                             qb, cb = (mine[sel], o) if is_query else (o, mine[sel])
-                            who.append(sel)
+                            who.append(on[sel])
                             cell.append(((at[sel].astype(np.int64) * 4096 + qb) * 4096 + cb) * len(names) + k)
                             kind.append(np.full(len(sel), 1 if is_query else 2, np.int8))
                 who, cell, kind = (np.concatenate(v) for v in (who, cell, kind))
@@ -199,12 +229,11 @@ def _postings(vectors: DataFrame, quantizers: dict[str, Quantizer], grid: dict[s
                 kind[twin] = 3
                 left = np.delete(np.arange(len(who)), twin + 1)
                 who, cell, kind = who[left], cell[left], kind[left]
-                size, width = raw.shape[1] * 4, codes.shape[1]
+                size = raw.shape[1] * 4
                 vecs = pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(np.arange(0, (len(who) + 1) * size, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(raw[who]))])
-                code = pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(np.arange(0, (len(who) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(codes[who]))])
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[who]), pa.array(kind), pa.array(lists[who, 0].astype(np.int32)), code, vecs], names=["cell", "vec_id", "kind", "home", "code", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[who]), pa.array(kind), vecs], names=["cell", "vec_id", "kind", "vec"])
 
-    return vectors.select("vec_id", "model", "vec").mapInArrow(run, "cell long, vec_id long, kind byte, home int, code binary, vec binary")
+    return vectors.select("vec_id", "model", "vec").mapInArrow(run, "cell long, vec_id long, kind byte, vec binary")
 
 
 def nearest(
@@ -216,11 +245,13 @@ def nearest(
     k: int = 5,
     floor: float = -1.0,
     list_rows: int = 400,
+    many_lists: int = 2048,
+    most_rows: int = 4096,
     most_lists: int = 4096,
     sample: int = 65_536,
-    probes: int = 4,
+    probes: int = 5,
     rerank: int = 96,
-    block: int = 4096,
+    block: int = 32_768,
     width: int = 8,
     rounds: int = 8,
     seed: int = 11,
@@ -232,29 +263,33 @@ def nearest(
     # written, so that its size is known: where copies are few, taking them out moves no vectors
     copies = materialize(prints.join(groups.select("model", "p", "rep"), ["model", "p"]).select("model", "rep", "vec_id"), "copies")
     single = usable.join(copies.where("vec_id <> rep"), ["model", "vec_id"], "left_anti")
-    quantizers, grid = fit(single, list_rows, most_lists, sample, width, rounds, seed, block, probes)
+    quantizers, grid = fit(single, list_rows, many_lists, most_rows, most_lists, sample, width, rounds, seed, block, probes)
     names = sorted(quantizers)
 
     def cell_hits(key: tuple, rows: pa.Table) -> pa.Table:
-        z = quantizers[names[key[0].as_py() % len(names)]]
-        ids, kind, home = (rows.column(c).to_numpy() for c in ("vec_id", "kind", "home"))
+        ids, kind = (rows.column(c).to_numpy() for c in ("vec_id", "kind"))
         raw = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.float32).reshape(len(ids), -1)
-        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        del rows
         # a row delivered twice under one id stays one posting
         order = np.argsort(ids, kind="stable")
         order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])] if len(order) else order
-        ids, kind, home, raw, codes = ids[order], kind[order], home[order], raw[order], codes[order]
+        ids, kind, raw = ids[order], kind[order], raw[order]
         queries, posts = np.flatnonzero(kind & 1), np.flatnonzero(kind & 2)
         found: list[list[np.ndarray]] = [[], [], []]
-        exact = raw.astype(np.float64)
-        exact /= np.sqrt((exact * exact).sum(1, keepdims=True))
-        for some in np.array_split(queries, max(1, len(queries) // 512)) if len(posts) else []:
+        norm = np.sqrt(np.einsum("rd,rd->r", raw, raw, dtype=np.float64))[:, None]
+        unit = lambda at: raw[at].astype(np.float64) / norm[at]
+        ahead = (raw[posts] / norm[posts]).astype(np.float32)
+        parts = max(1, len(queries) // 128, -(-len(queries) * len(posts) // CELLS))
+        for some in np.array_split(queries, parts) if len(posts) else []:
             if not len(some):
                 continue
-            s = z.scores(exact[some].astype(np.float32), home[posts], codes[posts])
-            s[ids[posts][:, None] == ids[some][None, :]] = -np.inf
-            best = np.argpartition(-s, min(rerank, len(posts)) - 1, axis=0)[:rerank].T  # queries x rerank
-            cos = np.einsum("qrd,qd->qr", exact[posts[best]], exact[some])
+            own = unit(some)
+            s = own.astype(np.float32) @ ahead.T
+            self_ = np.minimum(np.searchsorted(posts, some), len(posts) - 1)
+            is_post = posts[self_] == some
+            s[np.flatnonzero(is_post), self_[is_post]] = -np.inf
+            best = _top(s, rerank)  # queries x rerank
+            cos = np.einsum("qrd,qd->qr", unit(posts[best]), own)
             cos[ids[posts[best]] == ids[some][:, None]] = -np.inf
             rank = np.lexsort((ids[posts[best]], -cos), axis=1)[:, :k]
             top, val = np.take_along_axis(best, rank, 1), np.take_along_axis(cos, rank, 1)

@@ -263,6 +263,19 @@ def test_vectors_blocks_lose_nothing(spark):
     assert got == brute(x, np.arange(400), 3, -9)
 
 
+def test_vectors_between_many_lists_are_found():
+    """Vectors between centroids are posted under more lists than those amid one, so that near ones meet however many lists there are."""
+    rng = np.random.default_rng(9)
+    x = vectors._unit((np.repeat(rng.normal(size=(4000, 16)), 2, axis=0) + 0.2 * rng.normal(size=(8000, 16))).astype(np.float32))
+    z = vectors.Quantizer(x, 800, 4096, 8, 8, 1)
+    z.set_margin(x, 5)
+    lists, posted = z.posted(x, 5)
+    meet = lambda on: ((lists[1::2] == lists[::2, :1]) & on[1::2]).any(1) | ((lists[::2] == lists[1::2, :1]) & on[::2]).any(1)
+    assert abs(posted.mean() * lists.shape[1] - 5) < 0.1
+    assert meet(posted).mean() > meet(np.arange(20) < np.full((8000, 1), 5)).mean() and meet(posted).mean() >= 0.97
+    assert vectors.list_count(200_000, 400, 2048, 4096, 4096) == 500 and vectors.list_count(6_000_000, 400, 2048, 4096, 4096) == 2048 and vectors.list_count(16_777_216, 400, 2048, 4096, 4096) == 4096
+
+
 def test_vectors_edges(spark):
     one = [1.0, 2.0, 2.0]
     rows = [(i, "m", one) for i in range(20)] + [(30, "m", [2.0, 4.0, 4.0]), (31, "m", None), (32, "m", []), (33, "m", [0.0] * 3), (34, "m", [1.0]), (None, "m", one), (35, None, one), (36, "m", [float("nan"), 1.0, 1.0]), (40, "solo", [1.0, 1.0]), (0, "m", one)]
